@@ -114,6 +114,8 @@ FOLDED |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F) if c not in FOLDED}
 FOLDED |= {c: str(unicodedata.decimal(chr(c))) for c in range(0x80, 0x1FBFA) if unicodedata.decimal(chr(c), None) is not None and c not in FOLDED}
 FOLDED |= dict.fromkeys(map(ord, INVISIBLE), "")
 ODD = re.compile("[" + "".join(map(re.escape, map(chr, FOLDED))) + "]")
+FAR = re.compile("[\xa0\xadı\u0180-\U0010ffff]")  # a quick look: every folded character is one of these
+assert all(FAR.match(chr(c)) for c in FOLDED)
 
 _NAME = "(?:" + "|".join(sorted(DIGIT_OF, key=len, reverse=True)) + ")"
 SPELLED = re.compile(rf"(?<!\w){_NAME}(?:(?:[ ,-]{{1,2}}|\.|[ ]dot[ ]|[ ]point[ ]|[ ]punkt[ ]|[ ]punto[ ]){_NAME})+(?!\w)", re.I)
@@ -166,7 +168,8 @@ class Tape:
 def normalise(text: str) -> Tape:
     """The deobfuscated text with source spans."""
     tape = Tape(text)
-    tape.rewrite([(m.start(), m.end(), FOLDED[ord(m[0])]) for m in ODD.finditer(text)])
+    if FAR.search(text):
+        tape.rewrite([(m.start(), m.end(), FOLDED[ord(m[0])]) for m in ODD.finditer(text)])
     if BRACKETED.search(tape.text):
         tape.rewrite([(m.start(), m.end(), "@") for m in BRACKETED_AT.finditer(tape.text)])
         tape.rewrite([(m.start(), m.end(), ".") for m in BRACKETED_DOT.finditer(tape.text)])
