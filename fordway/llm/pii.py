@@ -239,7 +239,8 @@ def digest(found: DataFrame, id_col: str, kinds: tuple[str, ...]) -> DataFrame:
     from pyspark.sql import functions as F
 
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    of = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
+    counts = [of(k) for k in kinds]
     return found.select(id_col, *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("found").alias("spans"))
 
 

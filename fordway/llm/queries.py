@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from .byte_bpe import op3_byte_bpe
+from .decontaminate import op1_decontaminate
 from .media import op4_media
 from .pii import op6_pii
+from .secrets import op10_secrets
+from .simhash import op9_simhash
 from .token_counts import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_byte_bpe, op4_media, op6_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_byte_bpe, op4_media, op6_pii, op9_simhash, op10_secrets)}
 SQL: dict[str, str] = {}
