@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -39,7 +40,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Tokens of one piece of bytes, a byte at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 1 << 17):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 400_000):
         self.ranks = ranks
         self.starts = {t[:k] for t in ranks for k in range(1, len(t))}
         self.bytes_of = {v: k for k, v in ranks.items()}
@@ -185,17 +186,27 @@ class Encoder:
     """Whole texts: pieces by the pattern, each through the transducer once and then from a bounded table."""
 
     class _Memo(dict):
+        """Packed ids by piece. When full, what was looked up last stays at hand as the former table."""
+
         def __init__(self, transducer: Transducer):
             super().__init__()
             self.transducer = transducer
+            self.former: dict[str, bytes] = {}
 
         def __missing__(self, piece: str) -> bytes:
-            got = b"".join(x.to_bytes(4, "little") for x in self.transducer.encode(piece.encode()))
+            got = self.former.get(piece)
+            if got is None:
+                ids = self.transducer.encode(piece.encode())
+                got = struct.pack(f"<{len(ids)}I", *ids)
             if len(piece) <= 64:
                 self[piece] = got
             return got
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 300_000):
+        def turn(self) -> None:
+            self.former = dict(self)
+            self.clear()
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 250_000):
         import regex
 
         self.find = regex.compile(pattern)
@@ -212,7 +223,7 @@ class Encoder:
             found = iter(lambda: list(islice(each, 1 << 15)), [])
         for pieces in found:
             if len(self.memo) > self.most_pieces:
-                self.memo.clear()
+                self.memo.turn()
             yield b"".join(map(get, pieces))
 
     def encode(self, text: str) -> list[int]:
