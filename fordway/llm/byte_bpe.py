@@ -42,7 +42,9 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = 400_000):
         self.ranks = ranks
-        self.starts = {t[:k] for t in ranks for k in range(1, len(t))}
+        # by the beginnings of tokens: the token that it is (-1: none), and whether a longer one begins so
+        starts = {t[:k] for t in ranks for k in range(1, len(t))}
+        self.begun = {b: (ranks.get(b, -1), b in starts) for b in starts.union(ranks)}
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.most_states = most_states
         self.ends: dict[int, tuple | None] = {}
@@ -116,17 +118,20 @@ class Transducer:
         before, since, last, start, is_open = self.states[state]
         since += BYTES[byte]
         m = len(since)
-        ranks, starts, pairs = self.ranks, self.starts, self.pairs
+        begun, pairs = self.begun.get, self.pairs.get
         found = None
         still = []
         for j in is_open:
-            rest = since[j:] if j else since
-            if found is None and (token := ranks.get(rest)) is not None:
-                pair = (last[j], token)
-                if pairs[pair] if pair in pairs else self.stay(*pair):
-                    found = (token, j)
-            if rest in starts:
+            got = begun(since[j:] if j else since)
+            if got is None:
+                continue
+            token, longer = got
+            if longer:
                 still.append(j)
+            if token >= 0 and found is None:
+                stays = pairs((last[j], token))
+                if self.stay(last[j], token) if stays is None else stays:
+                    found = (token, j)
         if found is None:
             raise ValueError("the ranks do not hold all single bytes")
         last, start = (*last, found[0]), (*start, found[1])
@@ -207,8 +212,11 @@ class Encoder:
             self.clear()
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 250_000):
+        import gc
+
         import regex
 
+        gc.disable()  # the tables are large and hold no cycles; looking through them took a fifth of the time
         self.find = regex.compile(pattern)
         self.most_pieces = most_pieces
         self.memo = self._Memo(Transducer(ranks))
