@@ -100,7 +100,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     n_items = item_words.count()
     placed = ws.store(found.join(small(item_words.groupBy("item").agg(F.collect_set("w").alias("ws")), n_items), "item").select("row", "item", "shift", F.explode("ws").alias("w")), "places")
     by_row = placed.groupBy("row").agg(F.collect_list(F.struct("item", "shift", "w")).alias("c"))
-    full = texts.join(by_row, "row", "left").withColumn("words", words(F.col("text")))
+    # places grow with the texts, so at no size are they broadcast
+    full = texts.join(by_row.hint("merge"), "row", "left").withColumn("words", words(F.col("text")))
 
     def covered(c: Column) -> Column:
         """Places of the text's words that windows of candidate c cover."""
@@ -150,7 +151,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "
     state = contamination(docs, benchmark, size, id_col, text_col, keep_text=True)
     dirty = state.where(F.size("hits") > 0).select(F.xxhash64(id_col, text_col).alias("_row")).distinct()
     mine = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    return mine.join(dirty, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mine.join(dirty.hint("merge"), "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
