@@ -267,7 +267,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     keyed = named.select(F.col(at).alias("id"), "k1", "k2", F.col(text).alias("text"))
     kept = ws.store(kept_lines(ws, keyed, threshold), "kept")
     one = Window.partitionBy("k1", "k2").orderBy("k1")
-    joined = named.join(kept, ["k1", "k2"], "left").withColumn("copy", F.row_number().over(one))
+    joined = named.join(kept.hint("merge"), ["k1", "k2"], "left").withColumn("copy", F.row_number().over(one))
     joined = joined.select(*inner, F.when(F.col("copy") == 1, F.col("kept")).alias("kept"))
     schema = StructType([*(StructField(n, df.schema[c].dataType) for n, c in zip(inner, df.columns, strict=True)), StructField("n_lines", LongType()), StructField("n_kept", LongType())])
 

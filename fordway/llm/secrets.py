@@ -189,7 +189,7 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
     # rules that scan all rows do so before the join; texts without any candidate leave theirs behind
     full = [F.when(F.rlike(text, F.lit(java(r))), spans_of(r, text)).otherwise(none) for r in rules if r not in indexed]
     scanned = docs.select("id", "row", "text", F.concat(*full).alias("full") if full else none.alias("full"))
-    joined = scanned.join(candidates, "row", "left")
+    joined = scanned.join(candidates.hint("merge"), "row", "left")  # grows with the texts: not to be broadcast
     verified = [F.when(F.array_contains("kinds", r.kind), spans_of(r, text)).otherwise(none) for r in indexed]
     order = {r.kind: k for k, r in enumerate(rules)}
     rank = lambda s: F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), s.kind)

@@ -115,7 +115,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ws = Workspace(df.sparkSession, "simhash")
     found = ws.store(fingerprints(df, [id_col], text_col), "fingerprints")
     groups = near_groups(ws, found, id_col, radius)
-    return found.join(groups, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.join(groups.hint("merge"), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
@@ -131,7 +131,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     firsts = found.groupBy("fp").agg(F.min(order).alias("o")).join(groups, "fp").groupBy("label").agg(F.min("o").alias("o"))
     firsts = firsts.select("o._k1", "o._k2")
     one = Window.partitionBy("_k1", "_k2").orderBy("_k1")
-    kept = keyed.join(firsts, ["_k1", "_k2"]).withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    kept = keyed.join(firsts.hint("merge"), ["_k1", "_k2"]).withColumn("_n", F.row_number().over(one)).where("_n = 1")
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
