@@ -262,14 +262,8 @@ THRESHOLD = 0.7
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose score reaches the threshold."""
+    """docs without the rows whose score reaches the threshold; a null text stays as it is."""
     model = fit(docs, labels, id_col, text_col)
-    with_text = docs.withColumn("_text", F.col(text_col))
-    scored = score(with_text, model, docs.columns, "_text")
-    return scored.where(F.col("score") < threshold).drop("score") if "score" not in docs.columns else _keep_named(docs, model, text_col, threshold)
-
-
-def _keep_named(docs: DataFrame, model: Model, text_col: str, threshold: float) -> DataFrame:
     inner = docs.toDF(*[f"x{i}" for i in range(len(docs.columns))])
     scored = score(inner, model, inner.columns, inner.columns[docs.columns.index(text_col)])
     return scored.where(F.col("score") < threshold).drop("score").toDF(*docs.columns)
