@@ -1,6 +1,6 @@
 r"""Line dedup: of all lines that are alike over all texts, one stays.
 
-Lines (parts between "\n") are compared in lower case with white space folded. Signatures are one-permutation MinHash
+Lines (parts between "\n") are compared in lower case without white space at their ends. Signatures are one-permutation MinHash
 over shingles of `SHINGLE` characters: each shingle falls in one of BANDS x ROWS bins by its hash and each bin keeps
 the least; empty bins borrow from bins that a fixed table names. Lines that agree in all bins of a band are
 candidates; at a similarity of 0.8 that finds 97 % of pairs, at 0.9 all but 1 in 10,000. Candidate lines are gathered
@@ -48,7 +48,7 @@ WEIGHTS = _rng.integers(1, 1 << 62, BINS, dtype=np.int64).astype(np.uint64) | np
 
 
 def compared(line: str) -> str:
-    return " ".join(line.lower().split())
+    return line.strip().lower()
 
 
 def line_hash(form: str) -> int:
@@ -78,28 +78,32 @@ def _parts(forms: list[str]) -> Iterator[tuple[list[int], list[str]]]:
         yield owners, held
 
 
+def rolled(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all shingles of some texts in a row, each text's length there, and the places of shingles that reach
+    over a text's end. A text shorter than a shingle is filled up."""
+    padded = [p if len(p) >= SHINGLE else p + "\0" * (SHINGLE - len(p)) for p in parts]
+    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    size = len(points) - SHINGLE + 1
+    h = points[:size].copy()
+    for k in range(1, SHINGLE):
+        h *= STEP
+        h += points[k : k + size]
+    h ^= h >> np.uint64(31)
+    h *= MIX
+    h ^= h >> np.uint64(29)
+    over = (np.cumsum(lengths)[:-1, None] - np.arange(1, SHINGLE)).ravel()
+    return h, lengths, over
+
+
 def signatures(forms: list[str]) -> np.ndarray:
     """(lines, BINS) least hashes."""
     out = np.full(len(forms) * BINS, NONE)
     for owners, parts in _parts(forms):
-        padded = [p if len(p) >= SHINGLE else p + "\0" * (SHINGLE - len(p)) for p in parts]
-        lengths = np.fromiter(map(len, padded), np.int64, len(padded))
-        points = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-        size = len(points) - SHINGLE + 1
-        h = points[:size].copy()
-        for k in range(1, SHINGLE):
-            h = h * STEP + points[k : k + size]
-        h ^= h >> np.uint64(31)
-        h *= MIX
-        h ^= h >> np.uint64(29)
-        ends = np.cumsum(lengths)
-        whole = np.ones(size, bool)
-        for k in range(1, SHINGLE):  # shingles that would reach over a line's end
-            at = ends[:-1] - k
-            whole[at[at < size]] = False
-        line = np.repeat(np.array(owners, np.int64), lengths)[:size][whole]
-        h = h[whole]
-        slot = line * BINS + ((h >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64)
+        h, lengths, over = rolled(parts)
+        slot = np.repeat(np.array(owners, np.int64) * BINS, lengths)[: len(h)]
+        slot += (((h >> np.uint64(40)) * np.uint64(BINS)) >> np.uint64(24)).astype(np.int64)
+        h[over] = NONE
         np.minimum.at(out, slot, h)
     found = out.reshape(-1, BINS)
     filled = found.copy()
@@ -116,6 +120,35 @@ def signatures(forms: list[str]) -> np.ndarray:
     return filled
 
 
+class ShingleSets:
+    """The shingle sets of some lines, by 64-bit hashes, laid out so that one line meets many in one step."""
+
+    def __init__(self, forms: list[str]):
+        h, lengths, over = rolled(forms)
+        line = np.repeat(np.arange(len(forms)), lengths)[: len(h)]
+        whole = np.ones(len(h), bool)
+        whole[over] = False
+        h, line = h[whole], line[whole]
+        order = np.lexsort((h, line))
+        h, line = h[order], line[order]
+        first = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))
+        kinds, self.flat = np.unique(h[first], return_inverse=True)
+        self.sizes = np.bincount(line[first], minlength=len(forms))
+        self.edge = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.mark = np.zeros(len(kinds), bool)
+
+    def common(self, x: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles each of the others shares with x."""
+        mine = self.flat[self.edge[x] : self.edge[x + 1]]
+        self.mark[mine] = True
+        if 8 * len(others) > len(self.sizes):
+            out = np.add.reduceat(self.mark[self.flat], self.edge[:-1], dtype=np.int64)[others]
+        else:
+            out = np.array([np.count_nonzero(self.mark[self.flat[self.edge[y] : self.edge[y + 1]]]) for y in others.tolist()])
+        self.mark[mine] = False
+        return out
+
+
 def band_keys(found: np.ndarray) -> np.ndarray:
     """(lines, BANDS) signed keys."""
     keys = (found * WEIGHTS).reshape(-1, BANDS, ROWS).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * MIX
@@ -198,14 +231,15 @@ def candidate_forms(keyed: DataFrame, bits: np.ndarray) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = shared.value, set()
         for batch in by_bytes(batches, "text", 1 << 20):
+            every = [form for text in batch.column("text").to_pylist() for _, form in lines_of(text)]
+            hashes = np.fromiter(map(line_hash, every), np.int64, len(every))
+            bit = (held[hashes % BITS_WORDS] >> ((hashes >> 20) % 64).astype(np.uint64)) & np.uint64(1)
             nodes, forms = [], []
-            for text in batch.column("text").to_pylist():
-                for _, form in lines_of(text):
-                    h = line_hash(form)
-                    if int(held[h % BITS_WORDS]) >> ((h >> 20) % 64) & 1 and h not in seen:
-                        seen.add(h)
-                        nodes.append(h)
-                        forms.append(form)
+            for k in np.flatnonzero(bit).tolist():
+                if (h := int(hashes[k])) not in seen:
+                    seen.add(h)
+                    nodes.append(h)
+                    forms.append(every[k])
             if len(seen) > SEEN:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(forms, pa.string())], names=["node", "form"])
@@ -222,19 +256,17 @@ def verified_links(ws: Workspace, gathered: DataFrame, threshold: float, most: i
             own = dict(zip(group["node"].to_pylist(), group["form"].to_pylist(), strict=True))
             nodes, forms = list(own), list(own.values())
             keys = band_keys(signatures(forms))
-            sizes = np.array([max(1, len(f)) for f in forms])
+            sets = ShingleSets(forms)
 
             def near(x: int, others: np.ndarray) -> np.ndarray:
                 hit = (keys[others] == keys[x]).any(axis=1)
                 if hit.any():
-                    mine = shingles(forms[x])
-                    for k in np.flatnonzero(hit).tolist():
-                        theirs = shingles(forms[others[k]])
-                        common = len(mine & theirs)
-                        hit[k] = common >= threshold * (len(mine) + len(theirs) - common)
+                    with_band = others[hit]
+                    common = sets.common(x, with_band)
+                    hit[hit] = common >= threshold * (sets.sizes[x] + sets.sizes[with_band] - common)
                 return hit
 
-            edges = forest(len(sizes), near)
+            edges = forest(len(nodes), near)
             yield pa.RecordBatch.from_arrays([pa.array([nodes[e[k]] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     split = blocked(ws, gathered, "component", "node", most, "large")
