@@ -79,6 +79,11 @@ def plan(sizes: list[int], target: int, base: int, fanout: int) -> list[list[int
         live = nxt
 
 
+def own_path():
+    """The path of a row's file below its store's folder; files of one task differ by folder only."""
+    return F.regexp_extract(F.input_file_name(), "/(data-[0-9a-f]{32}/[^?]*)$", 1)
+
+
 class Conflict(RuntimeError):
     """Another writer committed this version."""
 
@@ -128,10 +133,9 @@ class ShardStore:
         """The files of a folder below the root, with rows and bytes as read back."""
         read = self.spark.read.parquet(f"{self.root}/{folder}")
         size = F.coalesce(F.octet_length(self.text_col), F.lit(0)).cast("long")
-        own = read.select(F.input_file_name().alias("f"), size.alias("b"), F.col(self.id_col).alias("i"))
+        own = read.select(own_path().alias("f"), size.alias("b"), F.col(self.id_col).alias("i"))
         found = own.groupBy("f").agg(F.count("*").alias("rows"), F.sum("b").alias("bytes"), F.min("i").cast("string").alias("low"), F.max("i").cast("string").alias("high"))
-        at = F.concat(F.lit(f"{folder}/"), F.regexp_extract("f", f"/{folder}/(.*)$", 1))
-        rows = found.select(at.alias("file"), "rows", "bytes", "low", "high").orderBy("file").collect()
+        rows = found.select(F.col("f").alias("file"), "rows", "bytes", "low", "high").orderBy("file").collect()
         return [Shard(*x, tier_of(x["bytes"], self.base, self.fanout)) for x in rows]
 
     def append(self, arrival: DataFrame) -> int:
@@ -168,8 +172,8 @@ class ShardStore:
         """Write each group as one file, all in one job."""
         folder, run = f"data-{uuid.uuid4().hex}", f"run_{uuid.uuid4().hex}"
         read = self.spark.read.parquet(*[f"{self.root}/{s.file}" for g in groups for s in g])
-        name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-        of = self.spark.createDataFrame([(s.file.rsplit("/", 1)[-1], k) for k, g in enumerate(groups) for s in g], f"{run}_file string, {run} int")
+        name = own_path()
+        of = self.spark.createDataFrame([(s.file, k) for k, g in enumerate(groups) for s in g], f"{run}_file string, {run} int")
         placed = read.withColumn(f"{run}_file", name).join(small(of, sum(map(len, groups))), f"{run}_file").drop(f"{run}_file")
         placed = placed.repartition(max(len(groups), 2), run)
         placed.write.option("compression", "zstd").partitionBy(run).parquet(f"{self.root}/{folder}")
@@ -203,9 +207,9 @@ def located(store: ShardStore) -> DataFrame:
     if not live:
         return store.spark.createDataFrame([], kind.format(store.id_col, "long"))
     read = store.spark.read.parquet(*[f"{store.root}/{s.file}" for s in live])
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name")
+    name = own_path().alias("name")
     rows = read.select(F.col(store.id_col), name, F.coalesce(F.octet_length(store.text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    of = store.spark.createDataFrame([(s.file.rsplit("/", 1)[-1], k, s.tier) for k, s in enumerate(live)], "name string, shard int, tier int")
+    of = store.spark.createDataFrame([(s.file, k, s.tier) for k, s in enumerate(live)], "name string, shard int, tier int")
     return rows.join(small(of, len(live)), "name").select(store.id_col, "shard", "tier", F.lit(version).alias("version"), "n_bytes")
 
 
