@@ -40,7 +40,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Tokens of one piece of bytes, a byte at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 250_000):
         self.ranks = ranks
         # by the beginnings of tokens: the token that it is (-1: none), and whether a longer one begins so
         starts = {t[:k] for t in ranks for k in range(1, len(t))}
@@ -211,7 +211,7 @@ class Encoder:
             self.former = dict(self)
             self.clear()
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 100_000):
         import gc
 
         import regex
@@ -299,10 +299,10 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
         ranks = load_ranks(ranks_path)
         encoder, decoder = Encoder(ranks, pattern), Decoder(ranks)
 
-        def run(batch: list[str], kept: list[list]) -> dict[str, list]:
+        def run(batch: list[str]) -> dict[str, list]:
             import numpy as np
 
-            out: dict[str, list] = {"id": kept[0], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
+            out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
             for text in batch:
                 n, ids, plain, machine = 0, hashlib.sha256(), hashlib.sha256(), Utf8Machine()
                 all_ids: list[int] = []
@@ -327,8 +327,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 
         return run
 
-    kind = f"id {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}"
-    return map_texts(df, [id_col], text_col, kind, make).withColumnRenamed("id", id_col)
+    return map_texts(df, [id_col], text_col, f"n_tokens long, ids_sha256 string, decoded_sha256 string{more}", make)
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -95,31 +96,40 @@ def _views(column: pa.Array) -> Iterator[memoryview | None]:
         yield None if b is None else memoryview(b)
 
 
-def map_texts(
-    df: DataFrame,
-    keep: list[str],
-    text_col: str,
-    schema: str,
-    make: Callable[[], Callable[[list[str], list[list]], dict[str, list]]],
-    most: int = 4 << 20,
-) -> DataFrame:
-    """One output row for each input row, by a function over byte-balanced batches of texts.
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on, and other tasks' memory counts beside it."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
-    `make` is called once for each task and gives the function; that gets the texts and the kept columns' values and
-    returns the output columns. Only `keep` and the text leave the scan, so extra columns never clash.
+
+def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make: Callable[[], Callable[[list[str]], dict[str, list]]], most: int = 4 << 20) -> DataFrame:
+    """The kept columns and those of `schema`, a row for each input row, by a function over byte-balanced batches.
+
+    `make` is called once for each task and gives the function; that gets the texts and returns the new columns. Kept
+    columns go through as Arrow arrays. Only they and the text leave the scan, under names of our own, so extra
+    columns never clash.
     """
-    from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-    inner = [f"k{i}" for i in range(len(keep))]
-    slim = df.select(*[df[k].alias(n) for k, n in zip(keep, inner, strict=True)], df[text_col].alias("t"))
-    kind = _parse_datatype_string(schema)
+    inner = {k: f"k{i}" for i, k in enumerate(keep)}
+    text = inner.get(text_col, "t")
+    slim = df.select(*[df[k].alias(n) for k, n in inner.items()], *([] if text_col in inner else [df[text_col].alias(text)]))
+    new = _parse_datatype_string(schema)
+    kind = StructType([*(StructField(n, df.schema[k].dataType) for k, n in inner.items()), *(StructField(f"n{i}", f.dataType) for i, f in enumerate(new))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         out = to_arrow_schema(kind)
-        for part in by_bytes(batches, "t", most):
-            got = f(texts(part.column("t")), [part.column(n).to_pylist() for n in inner])
-            yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) for x in out], schema=out)
-
-    return slim.mapInArrow(run, kind)
+        for part in by_bytes(batches, text, most):
+            got = f(texts(part.column(text)))
+            kept = [part.column(n) for n in inner.values()]
+            kept = [c if c.type == x.type else c.cast(x.type) for c, x in zip(kept, out, strict=False)]
+            made = [pa.array(got[x.name], type=out.field(len(inner) + i).type) for i, x in enumerate(new)]
+            yield pa.RecordBatch.from_arrays([*kept, *made], schema=out)
+        del f
+        give_back()
+
+    return slim.mapInArrow(run, kind).toDF(*keep, *new.names)

@@ -216,7 +216,7 @@ def media_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     (clip, first_frame, end_frame, start_s, end_s); the AVI file itself on request."""
 
     def make():
-        def run(batch: list[str], kept: list[list]) -> dict[str, list]:
+        def run(batch: list[str]) -> dict[str, list]:
             out: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips", "media")}
             payloads = [payload_of(x) for x in batch]
             counts = [len(p) // FRAME for _, p in payloads]
@@ -239,15 +239,15 @@ def media_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 cuts = zlib.crc32(",".join(map(str, starts)).encode())
                 for k, v in (("n_bytes", n_bytes), ("payload_bytes", len(read)), ("payload_sha256", hashlib.sha256(read).hexdigest()), ("tail_crc32", zlib.crc32(read[-32:])), ("media_bytes", len(f)), ("media_sha256", hashlib.sha256(f).hexdigest()), ("feature", f"frames={n};clips={len(starts)};starts={cuts:08x}"), ("clips", clips), ("media", f)):
                     out[k].append(v)
-            return {"id": kept[0], **out}
+            return out
 
         return run
 
     kind = (
-        f"id {df.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+        "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
         "clips array<struct<clip: int, first_frame: int, end_frame: int, start_s: double, end_s: double>>" + ", media binary" * with_media
     )
-    return map_texts(df, [id_col], text_col, kind, make, most=2 << 20).withColumnRenamed("id", id_col)
+    return map_texts(df, [id_col], text_col, kind, make, most=2 << 20)
 
 
 def op4_media(spark, sf_dir: str) -> DataFrame:

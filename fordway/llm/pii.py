@@ -221,17 +221,16 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """id, base and found (all): arrays of (kind, start, end) in code points, end exclusive, for every row."""
 
     def make():
-        def run(batch: list[str], kept: list[list]) -> dict[str, list]:
+        def run(batch: list[str]) -> dict[str, list]:
             base = [plain_spans(x) for x in batch]
             every = [in_order(b + added_spans(x, b)) for x, b in zip(batch, base, strict=True)]
             as_rows = lambda rows: [[x._asdict() for x in row] for row in rows]
-            return {"id": kept[0], "base": as_rows(base), "found": as_rows(every)}
+            return {"base": as_rows(base), "found": as_rows(every)}
 
         return run
 
     span = "array<struct<kind: string, start: long, end: long>>"
-    kind = f"id {df.schema[id_col].dataType.simpleString()}, base {span}, found {span}"
-    return map_texts(df, [id_col], text_col, kind, make).withColumnRenamed("id", id_col)
+    return map_texts(df, [id_col], text_col, f"base {span}, found {span}", make)
 
 
 def digest(found: DataFrame, id_col: str, kinds: tuple[str, ...]) -> DataFrame:

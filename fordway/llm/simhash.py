@@ -71,11 +71,9 @@ def fingerprints(df: DataFrame, keep: list[str], text_col: str = "text") -> Data
     """The kept columns and fp, the fingerprint as a signed long, for every row."""
 
     def make():
-        return lambda batch, kept: {**{f"c{i}": v for i, v in enumerate(kept)}, "fp": [signed(fingerprint(x)) for x in batch]}
+        return lambda batch: {"fp": [signed(fingerprint(x)) for x in batch]}
 
-    kind = ", ".join([f"c{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)] + ["fp long"])
-    out = map_texts(df, keep, text_col, kind, make)
-    return out.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(keep)], "fp")
+    return map_texts(df, keep, text_col, "fp long", make)
 
 
 def links(ws: Workspace, prints: DataFrame, radius: int = 4, most: int = MOST) -> DataFrame:

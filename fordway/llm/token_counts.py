@@ -87,10 +87,9 @@ def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     def make():
         count = counter(model_path)
-        return lambda batch, kept: {"id": kept[0], "n_bytes": [len(x.encode()) for x in batch], "n_tokens": count(batch)}
+        return lambda batch: {"n_bytes": [len(x.encode()) for x in batch], "n_tokens": count(batch)}
 
-    out = map_texts(df, [id_col], text_col, f"id {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long", make)
-    return out.withColumnRenamed("id", id_col)
+    return map_texts(df, [id_col], text_col, "n_bytes long, n_tokens long", make)
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -232,13 +232,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def make():
         own = Model(*shared.value, (0.0, 0.0, 0.0))
 
-        def run(batch: list[str], kept: list[list]) -> dict[str, list]:
+        def run(batch: list[str]) -> dict[str, list]:
             got = [own.features(x) for x in batch]
-            return {"toxic": kept[0], "mean": [m for m, _ in got], "peak": [p for _, p in got]}
+            return {"mean": [m for m, _ in got], "peak": [p for _, p in got]}
 
         return run
 
-    rows = map_texts(sample, ["toxic"], "text", "toxic long, mean double, peak double", make).toArrow()
+    rows = map_texts(sample, ["toxic"], "text", "mean double, peak double", make).toArrow()
     x = np.column_stack([rows["mean"].to_numpy(), rows["peak"].to_numpy()])
     order = np.lexsort((x[:, 1], x[:, 0]))
     model.curve = fit_curve(x[order], rows["toxic"].to_numpy().astype(float)[order])
@@ -251,11 +251,9 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
 
     def make():
         own = Model(*shared.value)
-        return lambda batch, kept: {**{f"c{i}": v for i, v in enumerate(kept)}, "score": [own.score(x) for x in batch]}
+        return lambda batch: {"score": [own.score(x) for x in batch]}
 
-    kind = ", ".join([f"c{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)] + ["score double"])
-    out = map_texts(docs, keep, text_col, kind, make)
-    return out.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(keep)], "score")
+    return map_texts(docs, keep, text_col, "score double", make)
 
 
 THRESHOLD = 0.7
