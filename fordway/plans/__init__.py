@@ -1,0 +1 @@
+"""Registered queries, their inputs and the SQL they are checked against."""
