@@ -29,6 +29,7 @@ from .common import map_texts, table
 
 FREE = 1 << 60  # a rank that no merge has
 SETTLED = -2  # in a state, any token before
+FIRST: list = []  # before a piece stands nothing
 BYTES = [bytes((i,)) for i in range(256)]
 
 
@@ -47,7 +48,7 @@ class Transducer:
         self.begun = {b: (ranks.get(b, -1), b in starts) for b in starts.union(ranks)}
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.most_states = most_states
-        self.ends: dict[int, tuple | None] = {}
+        self.ends: tuple[dict, dict] = ({}, {})
         self.reset()
 
     def reset(self) -> None:
@@ -67,23 +68,19 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return (parts[0], parts[1])
 
-    def edges(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]] | None:
-        """What stands at a token's right and left end while it is merged: parts, from single byte to whole, each
-        with the rank that ends it (the next one's). None: no merging leads to the token."""
-        if token not in self.ends:
-            sides: list[list[tuple[bytes, int]]] = []
-            for side in (1, 0):
-                chain, part = [(self.bytes_of[token], FREE)], self.bytes_of[token]
-                while len(part) > 1:
-                    two = self.halves(part)
-                    if two is None:
-                        break
-                    chain.append((two[side], self.ranks[part]))
-                    part = two[side]
-                else:
-                    sides.append(chain[::-1])
-            self.ends[token] = (sides[0], sides[1]) if len(sides) == 2 else None
-        return self.ends[token]
+    def edge(self, token: int, side: int) -> list[tuple[bytes, int]] | None:
+        """What stands at a token's left (0) or right (1) end while it is merged: parts, from single byte to whole,
+        each with the rank that ends it (the next one's). None: no merging leads to the token."""
+        chain, part = [(self.bytes_of[token], FREE)], self.bytes_of[token]
+        while len(part) > 1:
+            two = self.halves(part)
+            if two is None:
+                chain = None
+                break
+            chain.append((two[side], self.ranks[part]))
+            part = two[side]
+        found = self.ends[side][token] = chain and chain[::-1]
+        return found
 
     def stay(self, a: int, b: int) -> bool:
         """Whether token b may follow token a; a = -1: b begins the piece.
@@ -92,25 +89,29 @@ class Transducer:
         left end. The tokens stay apart unless, at some time, the two parts there merge before either is taken up
         from its own side; at equal rank the left of two merges runs first.
         """
-        got = self.pairs.get((a, b))
-        if got is None:
-            left, right = self.edges(a) if a >= 0 else ((), ()), self.edges(b)
-            got = left is not None and right is not None
-            if got and a >= 0:
-                i = j = 0
-                while True:
-                    (x, until_x), (y, until_y) = left[0][i], right[1][j]
-                    rank = self.ranks.get(x + y, FREE)
-                    if rank < until_x and rank <= until_y and rank != FREE:
-                        got = False
-                        break
-                    if until_x == until_y == FREE:
-                        break
-                    if until_x <= until_y:
-                        i += 1
-                    else:
-                        j += 1
-            self.pairs[a, b] = got
+        lefts, rights = self.ends
+        ys = lefts[b] if b in lefts else self.edge(b, 0)
+        xs = FIRST if a < 0 else rights[a] if a in rights else self.edge(a, 1)
+        got = ys is not None and xs is not None
+        if got and a >= 0:
+            rank_of = self.ranks.get
+            i = j = 0
+            x, until_x = xs[0]
+            y, until_y = ys[0]
+            while True:
+                rank = rank_of(x + y)
+                if rank is not None and rank < until_x and rank <= until_y:
+                    got = False
+                    break
+                if until_x > until_y:
+                    j += 1
+                    y, until_y = ys[j]
+                elif until_x == FREE:
+                    break
+                else:
+                    i += 1
+                    x, until_x = xs[i]
+        self.pairs[a, b] = got
         return got
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
