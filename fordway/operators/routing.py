@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .graph import lightest
 
@@ -60,7 +60,7 @@ def _local(edges: DataFrame, sources: DataFrame, groups: list[str], weight: str,
     fields = [sources.schema[g] for g in groups] + [StructField("node", LongType()), StructField("distance", DoubleType()), StructField("source", LongType()), StructField("predecessor", LongType())]
     kind = StructType(fields)
     if with_path:
-        kind = kind.add("path", "array<long>")
+        kind = kind.add("path", ArrayType(LongType()))
 
     def run(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         found = list(dijkstra(e["u"].tolist(), e["v"].tolist(), e[weight].tolist(), s["node"].tolist()))
