@@ -17,6 +17,7 @@ repeated ids and empty tables need no care; only id and text are read. Unpaired
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
@@ -213,11 +214,8 @@ class Encoder:
             self.clear()
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 100_000):
-        import gc
-
         import regex
 
-        gc.disable()  # the tables are large and hold no cycles; looking through them took a fifth of the time
         self.find = regex.compile(pattern)
         self.most_pieces = most_pieces
         self.memo = self._Memo(Transducer(ranks))
@@ -301,6 +299,13 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
         encoder, decoder = Encoder(ranks, pattern), Decoder(ranks)
 
         def run(batch: list[str]) -> dict[str, list]:
+            gc.disable()  # the tables are large and hold no cycles; looking through them took a fifth of the time
+            try:
+                return all_of(batch)
+            finally:
+                gc.enable()
+
+        def all_of(batch: list[str]) -> dict[str, list]:
             import numpy as np
 
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}

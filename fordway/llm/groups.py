@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Workspace
+from .common import Workspace, give_back
 
 #: So many rows of a few numbers each may be broadcast: a few megabytes.
 BROADCAST_ROWS = 100_000
@@ -141,6 +141,8 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
                     up = {}
         if up or pending:
             yield _pairs(_stars([*up.items(), *pending]))
+        del up, pending
+        give_back()
 
     def _pairs(up: dict[int, int]) -> pa.RecordBatch:
         rows = [(a, b) for a, b in up.items() if a != b]
@@ -150,7 +152,9 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
         df = ws.store(df, f"{name}-{k}")
         return df, tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    now, mark = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").mapInArrow(shrink, "u long, v long").distinct(), 0)
+    # links are stored first: where Python makes them, a task would else hold two workers at once
+    edges = ws.store(edges.where("a <> b"), f"{name}-links")
+    now, mark = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(shrink, "u long, v long").distinct(), 0)
     k = 0
     while mark[0]:
         both = now.union(now.select("v", "u"))

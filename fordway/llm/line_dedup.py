@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Workspace, by_bytes, table
+from .common import Workspace, by_bytes, give_back, table
 from .groups import blocked, by_group, components, forest, runs
 
 SHINGLE, ROWS, BANDS = 7, 6, 12
@@ -190,6 +190,8 @@ def line_rows(keyed: DataFrame) -> DataFrame:
             whole = pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "line", "hash", "keys"])
             for k in range(0, whole.num_rows, 1 << 14):
                 yield whole.slice(k, 1 << 14)
+        seen.clear()
+        give_back()
 
     return keyed.mapInArrow(run, "k1 long, k2 long, line int, hash long, keys array<long>")
 
@@ -243,6 +245,8 @@ def candidate_forms(keyed: DataFrame, bits: np.ndarray) -> DataFrame:
             if len(seen) > SEEN:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(forms, pa.string())], names=["node", "form"])
+        seen.clear()
+        give_back()
 
     return keyed.select("text").mapInArrow(run, "node long, form string")
 
@@ -268,6 +272,7 @@ def verified_links(ws: Workspace, gathered: DataFrame, threshold: float, most: i
 
             edges = forest(len(nodes), near)
             yield pa.RecordBatch.from_arrays([pa.array([nodes[e[k]] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        give_back()
 
     split = blocked(ws, gathered, "component", "node", most, "large")
     return by_group(split, "component", "i", "j").mapInArrow(run, "a long, b long")
@@ -317,6 +322,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
             arrow = to_arrow_schema(schema)
             columns = [c if c.type == f.type else c.cast(f.type) for c, f in zip([*columns, pa.array(lines, pa.int64()), pa.array(stay, pa.int64())], arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        give_back()
 
     return joined.mapInArrow(rebuild, schema).toDF(*df.columns, "n_lines", "n_kept")
 

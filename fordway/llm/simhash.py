@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Workspace, map_texts, table
+from .common import Workspace, give_back, map_texts, table
 from .groups import blocked, by_group, components, forest, runs
 
 MOST = 4096  # members of a group that one task compares at a time
@@ -94,6 +94,7 @@ def links(ws: Workspace, prints: DataFrame, radius: int = 4, most: int = MOST) -
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        give_back()
 
     split = blocked(ws, rows, "key", "fp", most, "hot-keys")
     return by_group(split, "key", "i", "j").mapInArrow(near, "a long, b long")

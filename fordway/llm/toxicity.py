@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Workspace, map_texts, table
+from .common import Workspace, by_bytes, give_back, map_texts, table, texts
 
 ORDER = 6
 TOP = 3
@@ -38,6 +38,7 @@ SLOT_BITS = 22
 BROADCAST_LABELS = 1_000_000
 DISCOUNT = 0.75
 ALPHABET = 256
+SUM_AT = 250_000  # n-grams that a task holds before it sums them up
 CHUNK = 1 << 16  # words of a text looked at together
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -83,39 +84,47 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     """gram, context, tail, middle (hashes), toxic, ordinary (counts) from rows (text, toxic)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal waiting
-            rows = np.concatenate([r for r, _ in held])
-            toxic = np.concatenate([t for _, t in held])
-            order = np.argsort(rows[:, 0], kind="stable")
-            rows, toxic = rows[order], toxic[order]
+        raw: list[np.ndarray] = []  # rows of gram, context, tail, middle, toxic count, ordinary count
+        summed: list[np.ndarray] = []
+        n_raw = n_summed = 0
+
+        def merged(parts: list[np.ndarray]) -> np.ndarray:
+            rows = np.concatenate(parts)
+            rows = rows[np.argsort(rows[:, 0])]
             first = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
-            counts = np.add.reduceat(np.ones(len(rows), np.int64), first)
-            bad = np.add.reduceat(toxic.astype(np.int64), first)
-            rows = rows[first].view(np.int64)
-            columns = [*(np.ascontiguousarray(rows[:, k]) for k in range(4)), bad, counts - bad]
-            held.clear()
-            waiting = 0
-            whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "context", "tail", "middle", "toxic", "ordinary"])
-            for k in range(0, whole.num_rows, 1 << 16):
-                yield whole.slice(k, 1 << 16)
-
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for part in parts_of(text or ""):
+            out = rows[first]
+            out[:, 4:] = np.add.reduceat(rows[:, 4:], first, axis=0)
+            return out
+
+        def given(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(rows), 1 << 16):
+                part = rows[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[:, c])) for c in range(6)], names=["gram", "context", "tail", "middle", "toxic", "ordinary"])
+
+        for batch in by_bytes(batches, "text"):
+            for text, toxic in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                for part in parts_of(text):
                     points = code_points(part)
                     used, _ = windows(points)
                     short, middle = rolled(points, ORDER - 1), rolled(points, ORDER - 2)
-                    gram = rolled(points, ORDER)[used]
-                    held.append((np.stack([gram, short[:-1][used], short[1:][used], middle[1:-1][used]], axis=1), np.full(len(gram), toxic, bool)))
-                    waiting += len(gram)
-                    if waiting > 2_000_000:
-                        yield from flush()
-        if held:
-            yield from flush()
+                    columns = [x.view(np.int64)[used] for x in (rolled(points, ORDER), short[:-1], short[1:], middle[1:-1])]
+                    n = len(columns[0])
+                    raw.append(np.stack([*columns, np.full(n, int(toxic > 0)), np.full(n, int(toxic <= 0))], axis=1))
+                    n_raw += n
+                    if n_raw > SUM_AT:
+                        summed.append(merged(raw))
+                        n_summed += len(summed[-1])
+                        raw, n_raw = [], 0
+                        if n_summed > 3 * SUM_AT:
+                            rows = merged(summed)
+                            summed, n_summed = [rows], len(rows)
+                            if n_summed > 2 * SUM_AT:
+                                yield from given(rows)
+                                summed, n_summed = [], 0
+        if raw or summed:
+            yield from given(merged(summed + raw))
+        raw, summed = [], []
+        give_back()
 
     kind = "gram long, context long, tail long, middle long, toxic long, ordinary long"
     part = labelled.select("text", "toxic").mapInArrow(run, kind)
