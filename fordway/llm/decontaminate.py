@@ -15,7 +15,8 @@ in many texts spreads over all tasks.
 Null and empty texts have no words: n_words 0, no hits; null and empty items have no windows. An item of fewer words
 than the window, but not none, is one window of them all. Repeated ids and repeated rows are fine: places found under
 a row key are checked against each row's own text. A null id is an id like any other. Item ids are compared as strings;
-items with equal text are each listed. Extra columns are not read. Empty tables give an empty result or no hits.
+items with equal text are each listed; a null id
+is counted but has no text to list. Extra columns are not read. Empty tables give an empty result or no hits.
 """
 
 from __future__ import annotations
@@ -43,11 +44,17 @@ def words(text: Column) -> Column:
     return raw_words(lowered(text))
 
 
-def windows(benchmark: DataFrame, size: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, at, terms: each window of `size` words of each item."""
+def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """source, item, w: the words of each item that has any; a source is an item's words, whatever its ids."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    return items.select(F.xxhash64("w").alias("source"), "item", "w").distinct()
+
+
+def windows(items: DataFrame, size: int) -> DataFrame:
+    """source, at, terms: each window of `size` words."""
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
-    return items.select("item", "w", F.explode(starts).alias("at")).select("item", "at", F.slice("w", F.col("at") + 1, size).alias("terms"))
+    placed = items.select("source", "w").distinct().select("source", "w", F.explode(starts).alias("at"))
+    return placed.select("source", "at", F.slice("w", F.col("at") + 1, size).alias("terms"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -61,22 +68,22 @@ def postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
 
 
 def phrase_hits(ws: Workspace, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """row, item, shift: where an item's words, moved by shift, may hold a window; docs as by keyed().
+    """row, source, shift: where a source's words, moved by shift, may hold a window; docs as by keyed().
 
-    wanted: item, at, terms. Rows are few: of those places where the two rarest terms of a window stand rightly.
+    wanted: source, at, terms. Rows are few: of those places where the two rarest terms of a window stand rightly.
     """
     wanted = ws.store(wanted, "windows")
     vocabulary = ws.store(wanted.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
     n_terms = vocabulary.count()
     counts = postings(docs, vocabulary, n_terms).groupBy("term").agg(F.count("*").alias("n"))
-    each = wanted.select("item", "at", F.posexplode("terms").alias("k", "term")).join(small(ws.store(counts, "counts"), n_terms), "term", "left")
+    each = wanted.select("source", "at", F.posexplode("terms").alias("k", "term")).join(small(ws.store(counts, "counts"), n_terms), "term", "left")
     # the rarest place first; a window is looked up by the two rarest of its places
     ranked = F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k", "term"))), 1, 2)
-    probes = each.groupBy("item", "at").agg(ranked.alias("r"))
+    probes = each.groupBy("source", "at").agg(ranked.alias("r"))
     first, second = F.get("r", F.lit(0)), F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0)))
     probes = ws.store(
         probes.where(first.n > 0)
-        .select("item", (F.col("at") + first.k).alias("place"), first.term.alias("term"), second.term.alias("other"), (second.k - first.k).alias("gap"))
+        .select("source", (F.col("at") + first.k).alias("place"), first.term.alias("term"), second.term.alias("other"), (second.k - first.k).alias("gap"))
         .distinct(),
         "probes",
     )
@@ -86,19 +93,18 @@ def phrase_hits(ws: Workspace, docs: DataFrame, wanted: DataFrame) -> DataFrame:
     kinds = probes.select("term", "other", "gap").distinct()
     moved = index.join(small(kinds, n_probes), "term").select("row", "position", (F.col("position") + F.col("gap")).alias("p"), "term", "other", "gap")
     met = moved.join(index.select("row", F.col("position").alias("p"), F.col("term").alias("other")), ["row", "p", "other"])
-    return met.join(small(probes, n_probes), ["term", "other", "gap"]).select("row", "item", (F.col("position") - F.col("place")).alias("shift")).distinct()
+    return met.join(small(probes, n_probes), ["term", "other", "gap"]).select("row", "source", (F.col("position") - F.col("place")).alias("shift")).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """For every row: id, n_words, hits (places of words within a window's occurrence, sorted), items (ids of items
     with occurring windows, sorted as strings), and the text on request."""
     ws = Workspace(docs.sparkSession, "decontaminate")
-    wanted = windows(benchmark, size, item_col, item_text_col)
+    items = ws.store(items_of(benchmark, item_col, item_text_col), "items")
+    n_words = items.agg(F.sum(F.size("w"))).first()[0] or 0  # items of up to a million words, some ten megabytes, are broadcast
     texts = keyed(docs, id_col, text_col)
-    found = phrase_hits(ws, texts, wanted)
-    item_words = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w")).where(F.size("w") > 0)
-    n_items = item_words.count()
-    placed = ws.store(found.join(small(item_words.groupBy("item").agg(F.collect_set("w").alias("ws")), n_items), "item").select("row", "item", "shift", F.explode("ws").alias("w")), "places")
+    found = phrase_hits(ws, texts, windows(items, size))
+    placed = ws.store(found.join(small(items, n_words // 10), "source").select("row", "item", "shift", "w"), "places")
     by_row = placed.groupBy("row").agg(F.collect_list(F.struct("item", "shift", "w")).alias("c"))
     # places grow with the texts, so at no size are they broadcast
     full = texts.join(by_row.hint("merge"), "row", "left").withColumn("words", words(F.col("text")))
