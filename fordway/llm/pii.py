@@ -131,10 +131,16 @@ BARE = re.compile(
     rf"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.| {DOT_WORD} )[A-Za-z0-9_%+-]+){{0,4}}(?: {AT_WORD} |@)[A-Za-z0-9-]+(?: {DOT_WORD} [A-Za-z0-9-]+){{0,3}} {DOT_WORD} (?:{'|'.join(ENDINGS.split())})(?![\w-])",
     re.I,
 )
+# a bare "at" before a written domain counts after a name that no plain word would be
+BARE_BEFORE_DOMAIN = re.compile(
+    rf"(?<![\w.%+-])(?=[A-Za-z0-9._%+-]*[0-9._])(?=[0-9._%+-]*[A-Za-z])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*( {AT_WORD} )[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{'|'.join(ENDINGS.split())})(?![\w-])",
+    re.I,
+)
 BARE_AT, BARE_DOT = re.compile(rf" {AT_WORD} ", re.I), re.compile(rf" {DOT_WORD} ", re.I)
 NUMBER_DOT = re.compile(rf"(?<=[0-9]) {DOT_WORD} (?=[0-9])", re.I)
 WORDS = re.compile(r"\w+")
 DOTS, PLUSES = frozenset(("dot", "punto", "punkt", "point")), frozenset(("plus", "más"))
+ATS, ENDING_WORDS = frozenset(("at", "arroba", "chez", "ät")), frozenset(ENDINGS.split())
 
 
 class Tape:
@@ -185,6 +191,8 @@ def normalise(text: str) -> Tape:
             edits += [(m.start() + x.start(), m.start() + x.end(), "@") for x in BARE_AT.finditer(m[0])]
             edits += [(m.start() + x.start(), m.start() + x.end(), ".") for x in BARE_DOT.finditer(m[0])]
         tape.rewrite(sorted(edits))
+    if not words.isdisjoint(ATS) and not words.isdisjoint(ENDING_WORDS):
+        tape.rewrite([(m.start(1), m.end(1), "@") for m in BARE_BEFORE_DOMAIN.finditer(tape.text)])
     return tape
 
 

@@ -10,6 +10,7 @@ from .pii import op6_pii
 from .secrets import op10_secrets
 from .sharding import op5_sharding
 from .simhash import op9_simhash
+from .sql import DECONTAMINATE, SECRETS
 from .token_counts import op2_token_counts
 from .toxicity import op8_toxicity
 
@@ -28,4 +29,4 @@ QUERIES = {
         op10_secrets,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_decontaminate": DECONTAMINATE, "op10_secrets": SECRETS}
