@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scores as S
 from .graph import disrupted_edges, undirected, with_lines
-from .routing import shortest_paths
+from .routing import LOCAL_EDGES, shortest_paths
 from .sampling import draw_sample, in_named_districts
 from .spatial_join import nearest, spatial_join
 
@@ -51,6 +51,8 @@ def both_states(edges: DataFrame, disrupted: DataFrame, types: list[str]) -> Dat
 def distances(edges: DataFrame, disrupted: DataFrame, services: DataFrame, strategy: str = "auto", with_path: bool = False) -> DataFrame:
     """state, service_type, node, distance, source, predecessor (, path). services: service_type, node_id."""
     groups = ["state", "service_type"]
+    if strategy == "auto":  # no group has more edges than the whole graph both ways, which is cheaper to count
+        strategy = "local" if 2 * edges.count() <= LOCAL_EDGES else "frontier"
     directed = both_states(edges, disrupted, service_types(services))
     sources = services.select(of_each([NORMAL, DISRUPTED]).alias("state"), "service_type", F.col("node_id").alias("node"))
     return shortest_paths(directed, sources, groups, strategy, with_path=with_path)
@@ -84,10 +86,11 @@ def scores(rows: DataFrame) -> DataFrame:
     """Of each state the shortest way by sample and service type, normal with disrupted beside it, and the score."""
     keys = ["service_type", "to_node_id"]
     own = [c for c in rows.columns if c not in ("state", *keys, "route_length", "from_osm_id")]
-    low = rows.groupBy("state", *keys).agg(F.min(F.struct("route_length", "from_osm_id", *own)).alias("m"))
-    normal = low.where(F.col("state") == NORMAL).select(*keys, "m.from_osm_id", *[F.col(f"m.{c}").alias(c if c != "route" else "route_normal") for c in own], F.col("m.route_length").alias("route_length_normal"))
-    disrupted = low.where(F.col("state") == DISRUPTED).select(*keys, F.col("m.route_length").alias("route_length_disrupted"), F.col("m.route").alias("route_disrupted"))
-    joined = normal.join(disrupted, keys, "left")
+    least = lambda state, *columns: F.min(F.when(F.col("state") == state, F.struct("route_length", "from_osm_id", *columns)))
+    # one pass for both states: a join of the two would route twice
+    low = rows.groupBy(*keys).agg(least(NORMAL, *own).alias("n"), least(DISRUPTED, "route").alias("d")).where("n is not null")
+    side = [F.col(f"n.{c}").alias(c if c != "route" else "route_normal") for c in own]
+    joined = low.select(*keys, "n.from_osm_id", *side, F.col("n.route_length").alias("route_length_normal"), F.col("d.route_length").alias("route_length_disrupted"), F.col("d.route").alias("route_disrupted"))
     joined = joined.withColumn("score", S.robustness(F.col("route_length_normal"), F.col("route_length_disrupted")))
     return joined.withColumn("route_length_disrupted", F.coalesce("route_length_disrupted", F.lit(S.INFINITY)))
 
