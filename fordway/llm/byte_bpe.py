@@ -42,7 +42,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Tokens of one piece of bytes, a byte at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000):
         self.ranks = ranks
         # by the beginnings of tokens: the token that it is (-1: none), and whether a longer one begins so
         starts = {t[:k] for t in ranks for k in range(1, len(t))}
@@ -213,7 +213,7 @@ class Encoder:
             self.former = dict(self)
             self.clear()
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 200_000):
         import regex
 
         self.find = regex.compile(pattern)
@@ -303,6 +303,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
             try:
                 return all_of(batch)
             finally:
+                gc.freeze()  # what stays between batches is not looked through either
                 gc.enable()
 
         def all_of(batch: list[str]) -> dict[str, list]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -98,6 +99,7 @@ def _views(column: pa.Array) -> Iterator[memoryview | None]:
 
 def give_back() -> None:
     """Return freed memory to the system: a worker lives on, and other tasks' memory counts beside it."""
+    gc.unfreeze()  # what a task set aside from collection
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # not glibc
