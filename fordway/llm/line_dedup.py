@@ -20,7 +20,6 @@ through whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np

@@ -17,7 +17,6 @@ looked at from its start only.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 from typing import NamedTuple
