@@ -45,18 +45,21 @@ def _ddl(properties: str) -> str:
     return ", ".join(f"`{n.strip('`')}`: {t}" for n, t in (p.strip().split(None, 1) for p in properties.split(",")))
 
 
-def gml(spark: SparkSession, path: str, row_tag: str, columns: str) -> DataFrame:
+def gml(spark: SparkSession, path: str | list[str], row_tag: str, columns: str, file: str | None = None) -> DataFrame:
     """Polygons of GML files: rows by tag, the named columns (a DDL schema, child elements as text), and `polygon`
-    from all gml:posList elements below (x y pairs; the first is the shell)."""
+    from all gml:posList elements below (x y pairs; the first is the shell). `file` names a column for the file's
+    name."""
     names = [c.strip().split(None, 1)[0] for c in columns.split(",") if c.strip()]
-    text = spark.read.text(path, wholetext=True).select(F.regexp_extract_all("value", F.lit(rf"(?s)<{row_tag}[\s>].*?</{row_tag}>"), F.lit(0)).alias("r"))
-    rows = text.select(F.explode("r").alias("r"))
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")
+    text = spark.read.text(path, wholetext=True).select(name, F.regexp_extract_all("value", F.lit(rf"(?s)<{row_tag}[\s>].*?</{row_tag}>"), F.lit(0)).alias("r"))
+    rows = text.select("file", F.explode("r").alias("r"))
     child = lambda n: F.nullif(F.regexp_extract("r", rf"(?s)<(?:\w+:)?{n}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{n}>", 1), F.lit(""))
     lists = F.regexp_extract_all("r", F.lit(r"(?s)<(?:\w+:)?posList(?:\s[^>]*)?>(.*?)</"), F.lit(1))
     numbers = lambda s: F.transform(F.split(F.trim(s), r"\s+"), lambda v: v.cast("double"))
     pairs = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1), lambda k: G.point(F.get(v, 2 * k), F.get(v, 2 * k + 1)))
     types = dict(c.strip().split(None, 1) for c in columns.split(",") if c.strip())
-    return rows.select(*[child(n).cast(types[n]).alias(n) for n in names], F.transform(lists, lambda s: pairs(numbers(s))).alias("polygon"))
+    origin = [F.col("file").alias(file)] if file else []
+    return rows.select(*origin, *[child(n).cast(types[n]).alias(n) for n in names], F.transform(lists, lambda s: pairs(numbers(s))).alias("polygon"))
 
 
 def graph(spark: SparkSession, folder: str, name: str, undirected_graph: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G
 from ..operators.crop import clip_rings
+from . import readers, regions
 
 
 def _mode(overwrite: bool) -> str:
@@ -21,13 +22,14 @@ def _coordinates(line: Column) -> Column:
     return F.transform(line, lambda p: F.array(p.x.cast("double"), p.y.cast("double")))
 
 
-def features(df: DataFrame, geometry: str, kind: str) -> DataFrame:
-    """A GeoJSON feature as text for each row. kind: Point, LineString or Polygon."""
+def features(df: DataFrame, geometry: str, kind: str, *beside: str) -> DataFrame:
+    """A GeoJSON feature as text for each row, with the columns named to stand beside it. kind: Point, LineString or
+    Polygon."""
     g = F.col(geometry)
     at = {"Point": lambda: F.array(g.x.cast("double"), g.y.cast("double")), "LineString": lambda: _coordinates(g), "Polygon": lambda: F.transform(g, _coordinates)}[kind]()
-    properties = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != geometry]) if len(df.columns) > 1 else F.create_map()
+    properties = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (geometry, *beside)]) if len(df.columns) > 1 + len(beside) else F.create_map()
     body = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.lit(kind).alias("type"), at.alias("coordinates")).alias("geometry"))
-    return df.select(F.to_json(body).alias("value"))
+    return df.select(*beside, F.to_json(body).alias("value"))
 
 
 def geojson(df: DataFrame, path: str, geometry: str, kind: str, overwrite: bool = False) -> None:
@@ -54,3 +56,22 @@ def cropped(df: DataFrame, mask: list[tuple[float, float]], path: str, overwrite
     cut = clip_rings(df, mask).withColumn("polygon", F.array("ring")).drop("ring")
     geojson(cut, path, "polygon", "Polygon", overwrite)
     return True
+
+
+def crop_folder(spark: SparkSession, folder: str, row_tag: str, columns: str, mask: list[tuple[float, float]], postfix: str, slug: str | None = None, overwrite: bool = False) -> list[str]:
+    """All GML files of a folder that are still to be cropped, cut at a convex mask in one job: GeoJSON features below
+    <folder>/<postfix>, a part for each file. Gives the files' names; an error in any file fails the job."""
+    names = regions.to_crop(regions.list_files(spark, folder, ".gml", relative=True), postfix, slug)
+    if names:
+        rows = readers.gml(spark, [f"{folder.rstrip('/')}/{n}" for n in names], row_tag, columns, "file")
+        cut = clip_rings(rows.withColumn("ring", F.element_at("polygon", 1)).where("size(polygon) > 0").drop("polygon"), mask)
+        shaped = cut.withColumn("polygon", F.array("ring")).drop("ring")
+        body = features(shaped, "polygon", "Polygon", "file")
+        body.write.mode(_mode(overwrite)).partitionBy("file").text(f"{folder.rstrip('/')}/{postfix}")
+    return names
+
+
+def region_mask(name: str) -> list[tuple[float, float]]:
+    """A preset region's corners as a mask."""
+    xmin, ymin, xmax, ymax = regions.REGIONS[name]
+    return [(xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax)]

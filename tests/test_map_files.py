@@ -82,3 +82,17 @@ def test_geopackage(spark, tmp_path):
     assert {r.fid: r.inside for r in areas.collect()}[3] is True
     with pytest.raises(Exception, match="no feature layer"):
         geopackage.layer(spark, path, "b", "fid long").collect()
+
+
+def test_crop_folder(spark, tmp_path):
+    from fordway.sources import regions, writers
+
+    for name, side in (("risk_a.gml", 1), ("area_b.gml", 9)):
+        (tmp_path / name).write_text(f"<c><m><fid>{side}</fid><posList>0 0 {side} 0 {side} {side} 0 {side} 0 0</posList></m><m><fid>0</fid><posList>50 50 51 50 51 51 50 50</posList></m></c>")
+    mask = [(0, 0), (4, 0), (4, 4), (0, 4)]
+    assert writers.crop_folder(spark, str(tmp_path), "m", "fid int", mask, "small", "risk") == ["risk_a.gml"]
+    assert writers.crop_folder(spark, str(tmp_path), "m", "fid int", mask, "small", overwrite=True) == ["area_b.gml", "risk_a.gml"]
+    got = {r.file: r.value for r in spark.read.text(str(tmp_path / "small")).collect()}
+    assert set(got) == {"area_b.gml", "risk_a.gml"} and "[4.0,4.0]" in got["area_b.gml"] and '"fid":9' in got["area_b.gml"]
+    assert writers.crop_folder(spark, str(tmp_path), "m", "fid int", mask, "gml") == []
+    assert writers.region_mask("trier_city")[0] == regions.REGIONS["trier_city"][:2]
