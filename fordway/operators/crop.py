@@ -55,22 +55,22 @@ def clip_rings(df: DataFrame, mask: list[tuple[float, float]], ring: str = "ring
     if area < 0:
         corners = corners[::-1]
 
-    @pandas_udf(G.LINE)
-    def cut(rings: pd.Series) -> pd.Series:
-        def one(r) -> list[dict] | None:
-            if r is None or not len(r):
-                return None
-            points = np.array([(p["x"], p["y"]) for p in r], float)
-            points = points[:-1] if len(points) > 1 and (points[0] == points[-1]).all() else points
-            for k in range(len(corners)):
-                points = _cut(points, corners[k], corners[(k + 1) % len(corners)])
-            return [{"x": x, "y": y} for x, y in [*points.tolist(), points[0].tolist()]] if len(points) else None
-
-        return rings.map(one)
-
-    wide = F.transform(ring, lambda p: G.point(p.x.cast("double"), p.y.cast("double")))
-    # so declared, the filter is not pushed below and the function runs once
-    return df.withColumn(ring, cut.asNondeterministic()(wide)).where(F.col(ring).isNotNull())
+    def one(r) -> list[dict] | None:
+        if r is None or not len(r):
+            return None
+        points = np.array([(p["x"], p["y"]) for p in r], float)
+        points = points[:-1] if len(points) > 1 and (points[0] == points[-1]).all() else points
+        for k in range(len(corners)):
+            points = _cut(points, corners[k], corners[(k + 1) % len(corners)])
+        return [{"x": x, "y": y} for x, y in [*points.tolist(), points[0].tolist()]] if len(points) else None
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f[ring] = f[ring].map(one)
+            yield f[f[ring].notna()]
+
+    wide = df.withColumn(ring, F.transform(ring, lambda p: G.point(p.x.cast("double"), p.y.cast("double"))))
+    return wide.mapInPandas(cut, wide.schema)
 
 
 # The WGS 84 ellipsoid and the scale of transverse Mercator zones.
