@@ -123,6 +123,21 @@ def from_utm(east: np.ndarray, north: np.ndarray, zone: int, south: bool = False
     return np.degrees(np.arctan2(np.sinh(x), np.cos(y))) + 6 * zone - 183, np.degrees(np.arctan(t))
 
 
+def project_points(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """df with `east`, `north` (metres) and `epsg` of its points' UTM zones, from longitude and latitude."""
+
+    @pandas_udf("struct<east: double, north: double>")
+    def flat(lon: pd.Series, lat: pd.Series, epsg: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"east": np.nan, "north": np.nan}, index=lon.index)
+        for code, at in epsg.groupby(epsg).groups.items():
+            east, north = to_utm(lon[at].to_numpy(float), lat[at].to_numpy(float), int(code) % 100, int(code) // 100 == 327)
+            out.loc[at, "east"], out.loc[at, "north"] = east, north
+        return out
+
+    zoned = df.withColumn("epsg", G.utm_epsg(F.col(x), F.col(y)))
+    return zoned.withColumn("_p", flat(F.col(x), F.col(y), F.col("epsg"))).withColumns({"east": F.col("_p.east"), "north": F.col("_p.north")}).drop("_p")
+
+
 def hull(points: np.ndarray) -> np.ndarray:
     """The convex hull, counter-clockwise, not closed."""
     order = sorted(set(map(tuple, points.tolist())))

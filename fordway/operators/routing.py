@@ -138,3 +138,27 @@ def per_service_paths(edges: DataFrame, sources: DataFrame, groups: list[str], w
     services = sources.select(*groups, F.col("node").alias("service"), "node").distinct()
     each = edges.join(services.select(*groups, "service"), groups)
     return shortest_paths(each, services, [*groups, "service"], "auto", weight)
+
+
+def path_between(trips: DataFrame, nodes: DataFrame, edges: DataFrame, weight: str = "travel_time", metric: str = "planar") -> DataFrame:
+    """trip, distance, path for each trip (trip, x1, y1, x2, y2): both ends snapped to nodes, one search a trip.
+
+    edges: u, v, key, weight, each way a row. A trip without a way has no row. For some trips; for many samples use
+    shortest_paths from the services."""
+    from .spatial_join import nearest
+
+    side = lambda k: nearest(trips.select("trip", F.col(f"x{k}").alias("px"), F.col(f"y{k}").alias("py")), nodes, "trip", metric=metric)
+    ends = side(1).select("trip", F.col("osmid").alias("node")).join(side(2).select("trip", F.col("osmid").alias("goal")), "trip")
+    names = [r.trip for r in trips.select("trip").collect()]
+    each = edges.withColumn("trip", F.explode(F.array(*map(F.lit, names)))) if names else edges.withColumn("trip", F.lit(None)).limit(0)
+    found = shortest_paths(each, ends.select("trip", "node"), ["trip"], "local", weight, with_path=True)
+    goals = ends.select(F.col("trip").alias("_trip"), "goal")
+    return found.join(goals, (F.col("trip") == F.col("_trip")) & (F.col("node") == F.col("goal"))).select("trip", "distance", "path")
+
+
+def route_totals(paths: DataFrame, edges: DataFrame, key: list[str], columns: list[str], weight: str = "length") -> DataFrame:
+    """key and the sums of the named edge columns along a path, over the lightest of parallel edges either way."""
+    hops = paths.select(*key, F.explode(_hops("path")).alias("hop")).select(*key, "hop.a", "hop.b")
+    both = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), *dict.fromkeys([weight, *columns])).unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b"), *dict.fromkeys([weight, *columns])))
+    best = both.groupBy("a", "b").agg(*[F.min_by(c, weight).alias(c) for c in columns])
+    return hops.join(best, ["a", "b"]).groupBy(*key).agg(*[F.sum(c).alias(c) for c in columns])

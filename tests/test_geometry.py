@@ -128,3 +128,14 @@ def test_utm_and_buffer(spark):
     south = spark.createDataFrame([(1, [(20.0, -30.0), (20.01, -30.0), (20.01, -30.01), (20.0, -30.0)])], f"k int, ring {G.LINE}")
     assert min(p.y for p in C.buffer_metres(south, 50.0).first().ring) == pytest.approx(-30.01 - 50 / 110850, abs=2e-5)
     assert math.isfinite(far[0])
+
+
+def test_project_points(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([(6.65, 49.75), (9.0, 0.0), (20.0, -30.0)], "x double, y double")
+    got = C.project_points(df).orderBy("x").collect()
+    assert [r.epsg for r in got] == [32632, 32632, 32734]
+    for r in got:
+        east, north = C.to_utm(np.array([r.x]), np.array([r.y]), r.epsg % 100, r.epsg > 32700)
+        assert (r.east, r.north) == pytest.approx((east[0], north[0]))

@@ -167,3 +167,14 @@ def test_joins_keep_their_kinds(spark):
     assert sorted((r.k, r.box) for r in J.spatial_join(lines, boxes, line="line", size=1.0).collect()) == [(1, 0), (1, 1)]
     assert {r.k: r.flooded for r in J.spatial_join(lines, boxes, "flag", line="line", key=["k"]).collect()} == {1: True, 2: False}
     assert J.spatial_join(lines, boxes, "left", line="line", key=["k"]).count() == 3
+
+
+def test_trips(spark):
+    nodes = spark.createDataFrame([(k, float(k), 0.0) for k in range(1, 5)], "osmid long, x double, y double")
+    edges = spark.createDataFrame([(1, 2, 0, 1.0, 5.0), (1, 2, 1, 2.0, 1.0), (2, 3, 0, 1.0, 1.0)], "u long, v long, key int, length double, seconds double")
+    trips = spark.createDataFrame([("a", 0.9, 0.1, 3.2, 0.0), ("b", 1.0, 0.0, 4.0, 0.0)], "trip string, x1 double, y1 double, x2 double, y2 double")
+    both = R.undirected(edges).select("u", "v", "key", "seconds")
+    got = routing.path_between(trips, nodes, both, "seconds").collect()
+    assert [(r.trip, r.distance, r.path) for r in got] == [("a", 2.0, [1, 2, 3])]
+    totals = routing.route_totals(spark.createDataFrame([("a", [3, 2, 1])], "trip string, path array<long>"), edges, ["trip"], ["length", "seconds"])
+    assert tuple(totals.first()) == ("a", 2.0, 6.0)
