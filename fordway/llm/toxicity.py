@@ -9,8 +9,9 @@ text, and by word over its `TOP` most telling words. A logistic curve through la
 counts turns both into a score from 0 to 1.
 
 Counts are taken from all labelled texts of the folds for learning (crc32 of the id as text, mod 3, is not 1), whole.
-The n-gram table is exact and distributed. For scoring it is laid out in 2^SLOT_BITS slots with a 16-bit tag, the
-entry with most counts winning a slot, so what is broadcast is at most 24 MB whatever the corpus. The curve is fitted
+The n-gram table is exact and distributed. Scoring looks up every n-gram and context of it by its whole 64-bit hash;
+none is left out, so what comes to the driver and is broadcast grows with their number, by 12 bytes each. A worker adds
+a directory of 4 to 8 bytes a key, sized by the keys there are. The curve is fitted
 on a ninth of the labelled rows, at most `most_calibration` of them. Labels are joined by broadcast up to
 `BROADCAST_LABELS` rows and by shuffle beyond. Words of over `LONGEST` characters are taken in parts of that length.
 
@@ -34,7 +35,6 @@ from .common import Workspace, by_bytes, give_back, map_texts, table, texts
 ORDER = 6
 TOP = 3
 LONGEST = 1000
-SLOT_BITS = 22
 BROADCAST_LABELS = 1_000_000
 DISCOUNT = 0.75
 ALPHABET = 256
@@ -42,7 +42,7 @@ SUM_AT = 250_000  # n-grams that a task holds before it sums them up
 CHUNK = 1 << 16  # words of a text looked at together
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
-CONTEXT = np.uint64(0xA5A5A5A5A5A5A5A5)  # sets contexts' slots apart from n-grams'
+CONTEXT = np.uint64(0xA5A5A5A5A5A5A5A5)  # sets contexts' keys apart from n-grams'
 
 
 def parts_of(text: str) -> Iterator[str]:
@@ -133,7 +133,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
 
 def evidence(ws: Workspace, grams: DataFrame) -> DataFrame:
-    """key, value, weight: log-likelihood differences of n-grams seen, and of contexts followed by anything else."""
+    """key, value: log-likelihood differences of n-grams seen, and of contexts followed by anything else."""
     grams = ws.store(grams, "grams")
     d = F.lit(DISCOUNT)
     seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
@@ -149,24 +149,39 @@ def evidence(ws: Workspace, grams: DataFrame) -> DataFrame:
         return F.when(F.col(total) > 0, own).otherwise(F.col("shared"))
 
     value = F.log(probability("toxic", "t", "t_kinds")) - F.log(probability("ordinary", "o", "o_kinds"))
-    of_grams = whole.select(F.col("gram").alias("key"), value.cast("float").alias("value"), (F.col("toxic") + F.col("ordinary")).alias("weight"))
+    of_grams = whole.select(F.col("gram").alias("key"), value.cast("float").alias("value"))
     weight = lambda total, kinds: F.when(F.col(total) > 0, d * F.col(kinds) / F.greatest(F.col(total), F.lit(1))).otherwise(F.lit(1.0))
     rest = F.log(weight("t", "t_kinds")) - F.log(weight("o", "o_kinds"))
     key = F.col("context").bitwiseXOR(F.lit(int(CONTEXT.view(np.int64))))
-    of_contexts = contexts.select(key.alias("key"), rest.cast("float").alias("value"), (F.col("t") + F.col("o")).alias("weight"))
+    of_contexts = contexts.select(key.alias("key"), rest.cast("float").alias("value"))
     return of_grams.union(of_contexts)
 
 
 class Model:
-    """The evidence in slots, and the curve."""
+    """The evidence by sorted keys, and the curve."""
 
-    def __init__(self, values: np.ndarray, tags: np.ndarray, curve: tuple[float, float, float]):
-        self.values, self.tags, self.curve = values, tags, curve
-        self.bits = np.uint64(int(len(values)).bit_length() - 1)
+    def __init__(self, keys: np.ndarray, values: np.ndarray, curve: tuple[float, float, float]):
+        self.keys, self.values, self.curve = keys, values, curve
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        # where the keys of each leading bits begin: more places than keys, so few of them share one
+        counts = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.starts = np.zeros((1 << bits) + 1, np.int32 if len(keys) < 1 << 31 else np.int64)
+        np.cumsum(counts, out=self.starts[1:])
 
     def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot = (keys >> (np.uint64(64) - self.bits)).astype(np.int64)
-        return self.values[slot], self.tags[slot] == (keys & np.uint64(0xFFFF)).astype(np.uint16)
+        """The values of some keys, 0 where there is none, and which are there."""
+        values, known = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        place = (keys >> self.shift).astype(np.int64)
+        at, end = self.starts[place], self.starts[place + 1]
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            hit = self.keys[at] == keys[left]
+            values[left[hit]], known[left[hit]] = self.values[at[hit]], True
+            more = ~hit & (at + 1 < end)
+            left, at, end = left[more], at[more] + 1, end[more]
+        return values, known
 
     def features(self, text: str) -> tuple[float, float]:
         """Mean difference by character over the text, and by word over its most toxic words."""
@@ -175,9 +190,9 @@ class Model:
         for part in parts_of(text):
             points = code_points(part)
             used, begins = windows(points)
-            value, known = self.look(rolled(points, ORDER)[used])
-            backoff, context_known = self.look(rolled(points, ORDER - 1)[:-1][used] ^ CONTEXT)
-            each = np.where(known, value, np.where(context_known, backoff, 0)).astype(np.float64)
+            each, known = self.look(rolled(points, ORDER)[used])
+            each[~known] = self.look(rolled(points, ORDER - 1)[:-1][used][~known] ^ CONTEXT)[0]
+            each = each.astype(np.float64)
             total += float(each.sum())
             n += len(each)
             words = np.add.reduceat(each, np.flatnonzero(begins))
@@ -190,15 +205,12 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, a * mean + b * peak + c))))
 
 
-def slots_of(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most 2^SLOT_BITS rows come to the driver."""
-    slot = F.shiftrightunsigned("key", 64 - SLOT_BITS).cast("int")
-    best = found.groupBy(slot.alias("slot")).agg(F.max_by(F.struct("key", "value"), F.struct("weight", "key")).alias("x"))
-    rows = best.select("slot", "x.value", F.col("x.key").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag")).toArrow()
-    values, tags = np.zeros(1 << SLOT_BITS, np.float32), np.zeros(1 << SLOT_BITS, np.uint16)
-    at = rows["slot"].to_numpy()
-    values[at], tags[at] = rows["value"].to_numpy(), rows["tag"].to_numpy().astype(np.uint16)
-    return values, tags
+def looked_up(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All keys in order and their values, on the driver."""
+    rows = found.select("key", "value").toArrow()
+    keys = rows["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows["value"].to_numpy()[order]
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float, float]:
@@ -232,8 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labelled = mine.join(F.broadcast(known) if n <= BROADCAST_LABELS else known, "id")
     apart = fold("id", 9) == 0
     grams = gram_counts(labelled.where(~apart))
-    model = Model(*slots_of(evidence(ws, grams)), (0.0, 0.0, 0.0))
-    shared = spark.sparkContext.broadcast((model.values, model.tags))
+    model = Model(*looked_up(evidence(ws, grams)), (0.0, 0.0, 0.0))
+    shared = spark.sparkContext.broadcast((model.keys, model.values))
     share = min(1.0, most_calibration / max(1, n / 6))
     # a bounded sample by a hash of the id, for a curve of three parameters
     sample = labelled.where(apart & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)))
@@ -256,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The kept columns and score, for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.values, model.tags, model.curve))
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.values, model.curve))
 
     def make():
         own = Model(*shared.value)

@@ -319,6 +319,29 @@ def test_toxicity(spark):
     assert sum(s >= 0.7 for s in good) <= 0.02 * len(good)
 
 
+def test_toxicity_keeps_every_key(spark):
+    # keys of equal leading bits, with the heavier one first: each keeps its own value
+    keys = [(7 << 42) + k for k in (0, 1, 1 << 16, 1 << 41)] + [-5, -6, 0, (1 << 63) - 1]
+    rows = spark.createDataFrame([(k, float(n + 1), 9 - n) for n, k in enumerate(keys)], "key long, value float, weight long")
+    model = X.Model(*X.looked_up(rows), (0.0, 0.0, 0.0))
+    values, known = model.look(np.array([*keys, 2, (7 << 42) + 2, -7], np.int64).view(np.uint64))
+    assert values.tolist() == [*range(1, 9), 0, 0, 0] and known.tolist() == [True] * 8 + [False] * 3
+    assert X.Model(*X.looked_up(rows.limit(0)), (0.0, 0.0, 0.0)).features("some text") == (0.0, 0.0)
+
+
+def test_toxicity_knows_all_counted(spark):
+    rng = random.Random(5)
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 9 in (2, 3, 5, 6, 8)]
+    docs = [(k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(300))) for k in ids]
+    model = X.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, toxic long"))
+    for _, text in docs:
+        for part in X.parts_of(text):
+            points = X.code_points(part)
+            used, _ = X.windows(points)
+            assert model.look(X.rolled(points, X.ORDER)[used])[1].all()
+            assert model.look(X.rolled(points, X.ORDER - 1)[:-1][used] ^ X.CONTEXT)[1].all()
+
+
 def test_toxicity_odd(spark):
     docs = spark.createDataFrame(ODD, "doc_id long, text string")
     labels = spark.createDataFrame([(1, None), (None, 1), (3, 1), (3, 0)], "doc_id long, toxic long")
