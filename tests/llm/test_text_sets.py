@@ -199,6 +199,22 @@ def test_line_dedup_odd(spark):
     assert L.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_inner_white_space(spark):
+    line = "Lines set in columns are the same line whatever fills the gaps between their words"
+    fills = [" ", "  ", "\t", "\u00a0", " \t "]
+    rows = [(k, f"own text of row number {k * 7919}\n" + "  "[: k % 3] + line.replace(" ", x)) for k, x in enumerate(fills)]
+    rows.append((9, line.replace("are the same", "are  the  same").upper() + " \r"))
+    rows += [(20, "a b"), (21, "a\t b"), (22, "ab")]
+    folded = lambda x: re.sub(r"\s+", " ", x).strip().lower()
+    seen, want = set(), {}
+    for k, text in rows:
+        new = [x for x in text.split("\n") if folded(x) not in seen]
+        seen.update(map(folded, new))
+        want[k] = "\n".join(new)
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == want and sum(r.n_kept for r in got) == len(seen)
+
+
 def test_line_signatures():
     rng = random.Random(2)
     lines = [" ".join("".join(rng.choices("abdeilnorst", k=rng.randint(2, 8))) for _ in range(rng.randint(15, 60))) for _ in range(400)]
