@@ -8,12 +8,14 @@ A text's evidence is the difference of the two log-likelihoods, normalised by le
 text, and by word over its `TOP` most telling words. A logistic curve through labelled texts that were kept out of the
 counts turns both into a score from 0 to 1.
 
-Counts are taken from all labelled texts of the folds for learning (crc32 of the id as text, mod 3, is not 1), whole.
+Counts are taken from the labelled texts of the folds for learning (crc32 of the id as text, mod 3, is not 1), whole,
+without only those that the curve is fitted on.
 The n-gram table is exact and distributed. Scoring looks up every n-gram and context of it by its whole 64-bit hash;
 none is left out, so what comes to the driver and is broadcast grows with their number, by 12 bytes each. A worker adds
 a directory of 4 to 8 bytes a key, sized by the keys there are. The curve is fitted
-on a ninth of the labelled rows, at most `most_calibration` of them. Labels are joined by broadcast up to
-`BROADCAST_LABELS` rows and by shuffle beyond. Words of over `LONGEST` characters are taken in parts of that length.
+on a sixth of these rows (crc32 mod 9 is 0), or a sample of it by a hash of the id where that is over
+`most_calibration` rows; the rest of the sixth is counted. Labels are joined by broadcast up to `BROADCAST_LABELS` rows
+and by shuffle beyond. Words of over `LONGEST` characters are taken in parts of that length.
 
 Null and empty texts have no evidence: they get the score of zeros. A null id has no label and is not held out. A
 label row with a null is not used; of several label rows of one id the largest label counts. Repeated rows are scored
@@ -242,13 +244,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = known.count()
     # labels of one id are few, texts of one id too; neither side of this join has a hot key
     labelled = mine.join(F.broadcast(known) if n <= BROADCAST_LABELS else known, "id")
-    apart = fold("id", 9) == 0
+    share = min(1.0, most_calibration / max(1, n / 6))
+    # a bounded sample by a hash of the id, for a curve of three parameters
+    apart = (fold("id", 9) == 0) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
     grams = gram_counts(labelled.where(~apart))
     model = Model(*looked_up(evidence(ws, grams)), (0.0, 0.0, 0.0))
     shared = spark.sparkContext.broadcast((model.keys, model.values))
-    share = min(1.0, most_calibration / max(1, n / 6))
-    # a bounded sample by a hash of the id, for a curve of three parameters
-    sample = labelled.where(apart & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    sample = labelled.where(apart)
 
     def make():
         own = Model(*shared.value, (0.0, 0.0, 0.0))

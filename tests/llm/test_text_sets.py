@@ -358,6 +358,18 @@ def test_toxicity_knows_all_counted(spark):
             assert model.look(X.rolled(points, X.ORDER - 1)[:-1][used] ^ X.CONTEXT)[1].all()
 
 
+def test_toxicity_counts_all_but_the_sample(spark):
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 9 == 0]
+    docs = spark.createDataFrame([(k, "q" + "".join("abcdefghij"[int(c)] for c in f"{k:05}")) for k in ids], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+
+    def known(most):
+        model = X.fit(docs, labels, most_calibration=most)
+        return sum(model.look(X.rolled(X.code_points(" " + r.text)[1:], X.ORDER))[1].all() for r in docs.collect())
+
+    assert known(0) == len(ids) and known(len(ids)) == 0 and len(ids) / 2 < known(len(ids) // 36) < len(ids)
+
+
 def test_toxicity_odd(spark):
     docs = spark.createDataFrame(ODD, "doc_id long, text string")
     labels = spark.createDataFrame([(1, None), (None, 1), (3, 1), (3, 0)], "doc_id long, toxic long")
