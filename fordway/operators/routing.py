@@ -22,7 +22,8 @@ LOCAL_EDGES = 5_000_000
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, groups: list[str], strategy: str = "auto", weight: str = "length", with_path: bool = False) -> DataFrame:
-    """groups, node, distance (double), source, predecessor, for all reachable nodes; `path` on request (local only).
+    """groups, node, distance (double), source, predecessor, for all reachable nodes; `path` on request (local only:
+    asked for with the frontier, by name or by size, it raises ValueError).
 
     edges: groups, u, v, key, weight, each way a row of its own. sources: groups, node. Nodes that cannot be reached
     have no row.
@@ -32,6 +33,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, groups: list[str], stra
     if strategy == "auto":
         most = edges.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
         strategy = "local" if most <= LOCAL_EDGES else "frontier"
+    if with_path and strategy == "frontier":
+        raise ValueError("paths are built by the local strategy only")
     light = lightest(edges, groups, weight)
     starts = sources.select(*groups, F.col("node").cast("long").alias("node")).distinct()
     return _local(light, starts, groups, weight, with_path) if strategy == "local" else _frontier(light, starts, groups, weight)

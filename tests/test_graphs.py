@@ -178,3 +178,13 @@ def test_trips(spark):
     assert [(r.trip, r.distance, r.path) for r in got] == [("a", 2.0, [1, 2, 3])]
     totals = routing.route_totals(spark.createDataFrame([("a", [3, 2, 1])], "trip string, path array<long>"), edges, ["trip"], ["length", "seconds"])
     assert tuple(totals.first()) == ("a", 2.0, 6.0)
+
+
+def test_paths_are_not_left_out_by_size(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 1, 2, 0, 1.0), (1, 2, 1, 0, 1.0)], "g int, u long, v long, key int, length double")
+    sources = spark.createDataFrame([(1, 1)], "g int, node long")
+    assert "path" in routing.shortest_paths(edges, sources, ["g"], with_path=True).columns
+    monkeypatch.setattr(routing, "LOCAL_EDGES", 1)
+    for strategy in ("auto", "frontier"):
+        with pytest.raises(ValueError):
+            routing.shortest_paths(edges, sources, ["g"], strategy, with_path=True)
