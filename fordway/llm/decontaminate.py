@@ -4,19 +4,21 @@ Words are the runs of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` with A-Z lowered. The ind
 for each place where a training text has a term that the test set asks for; it is a table in the shared folder.
 Phrase search: each window of test words is looked up by its two rarest terms, by counts over all training texts.
 The rarest term's positions, moved by its distance to the next one, are intersected with the next one's list, which
-leaves places where the window may lie; these are compared with the text word by word. Proximity search: places of a
-query's rarest term with every other term within `slop` words.
+leaves places where the window may lie; the text's words there are compared with the window's. Proximity search: places
+of a query's rarest term with every other term within `slop` words.
 
 Two terms suffice since the check that follows is exact; a window's remaining lists would be read only to be mostly
-thrown away. Terms of the test set, its windows and their probes are broadcast after a count, up to a documented size,
-and joined by shuffle beyond it. The intersection is keyed by place, so a term that is everywhere or a passage that is
-in many texts spreads over all tasks.
+thrown away. Windows are told apart by their words, so one that many items share is looked up and compared once; its
+items are joined to the rows that it was found in. A text's candidates are places, of a few dozen bytes each, and its
+check takes time in proportion to them. Terms of the test set, its windows and their probes are broadcast after a
+count, up to a documented size. Beyond it they are joined by shuffle, with the corpus's most frequent words, which are
+few by their share, set apart and broadcast. The intersection is keyed by place, so a term that is everywhere or a
+passage that is in many texts spreads over all tasks.
 
 Null and empty texts have no words: n_words 0, no hits; null and empty items have no windows. An item of fewer words
 than the window, but not none, is one window of them all. Repeated ids and repeated rows are fine: places found under
 a row key are checked against each row's own text. A null id is an id like any other. Item ids are compared as strings;
-items with equal text are each listed; a null id
-is counted but has no text to list. Extra columns are not read. Empty tables give an empty result or no hits.
+items with equal text are each listed; a null id has no text to list. Extra columns are not read, or passed through. Empty tables give an empty result or no hits.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ASCII_LOWER, ASCII_UPPER, Workspace, table
-from .groups import small
+from .groups import BROADCAST_ROWS, small
 
 # The complement of a word's characters, before letters are lowered.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -51,83 +53,101 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
 
 def windows(items: DataFrame, size: int) -> DataFrame:
-    """source, at, terms: each window of `size` words."""
+    """source, window: the words of each window, joined by blanks, which no word has."""
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
     placed = items.select("source", "w").distinct().select("source", "w", F.explode(starts).alias("at"))
-    return placed.select("source", "at", F.slice("w", F.col("at") + 1, size).alias("terms"))
+    return placed.select("source", F.array_join(F.slice("w", F.col("at") + 1, size), " ").alias("window")).distinct()
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("id", "text"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """row, position, term for each place of one of the terms (columns term, n) in keyed texts."""
+def postings(ws: Workspace, docs: DataFrame, terms: DataFrame, n_terms: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """row, position, term for each place of one of the terms in keyed texts."""
     places = docs.select("row", F.posexplode(raw_words(F.col("text"))).alias("position", "w")).select("row", "position", lowered(F.col("w")).alias("term"))
-    return places.join(small(terms, n_terms), "term")
+    if n_terms <= most:
+        return places.join(F.broadcast(terms), "term")
+    # words with more than the most-th part of all places are fewer than `most`; of the rest none is hot
+    every = ws.store(places.groupBy("term").agg(F.count("*").alias("n")), "words")
+    total = every.agg(F.sum("n")).first()[0] or 0
+    frequent = every.where(F.col("n") > total / most).select("term")
+    common = F.broadcast(frequent.join(terms, "term", "left_semi"))
+    rare = places.join(F.broadcast(frequent), "term", "left_anti").join(terms.hint("merge"), "term")
+    return places.join(common, "term").unionByName(rare)
 
 
-def phrase_hits(ws: Workspace, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """row, source, shift: where a source's words, moved by shift, may hold a window; docs as by keyed().
+def phrase_hits(ws: Workspace, docs: DataFrame, wanted: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """row, window, start: places where a window may stand, docs as by keyed(); wanted: window.
 
-    wanted: source, at, terms. Rows are few: of those places where the two rarest terms of a window stand rightly.
+    Rows are few: of those places where the two rarest terms of a window stand rightly.
     """
-    wanted = ws.store(wanted, "windows")
-    vocabulary = ws.store(wanted.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
+    few = lambda df, n: F.broadcast(df) if n <= most else df
+    wanted = ws.store(wanted.select("window").distinct(), "windows")
+    each = wanted.select("window", F.posexplode(F.split("window", " ")).alias("k", "term"))
+    vocabulary = ws.store(each.select("term").distinct(), "vocabulary")
     n_terms = vocabulary.count()
-    counts = postings(docs, vocabulary, n_terms).groupBy("term").agg(F.count("*").alias("n"))
-    each = wanted.select("source", "at", F.posexplode("terms").alias("k", "term")).join(small(ws.store(counts, "counts"), n_terms), "term", "left")
+    counts = postings(ws, docs, vocabulary, n_terms, most).groupBy("term").agg(F.count("*").alias("n"))
+    counted = each.join(few(ws.store(counts, "counts"), n_terms), "term", "left")
     # the rarest place first; a window is looked up by the two rarest of its places
     ranked = F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k", "term"))), 1, 2)
-    probes = each.groupBy("source", "at").agg(ranked.alias("r"))
+    probes = counted.groupBy("window").agg(ranked.alias("r"))
     first, second = F.get("r", F.lit(0)), F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0)))
-    probes = ws.store(
-        probes.where(first.n > 0)
-        .select("source", (F.col("at") + first.k).alias("place"), first.term.alias("term"), second.term.alias("other"), (second.k - first.k).alias("gap"))
-        .distinct(),
-        "probes",
-    )
+    probes = ws.store(probes.where(first.n > 0).select("window", first.k.alias("place"), first.term.alias("term"), second.term.alias("other"), (second.k - first.k).alias("gap")), "probes")
     asked = ws.store(probes.select("term").union(probes.select("other")).distinct(), "asked")
-    index = ws.store(postings(docs, asked, asked.count()), "postings")
+    index = ws.store(postings(ws, docs, asked, asked.count(), most), "postings")
     n_probes = probes.count()
     kinds = probes.select("term", "other", "gap").distinct()
-    moved = index.join(small(kinds, n_probes), "term").select("row", "position", (F.col("position") + F.col("gap")).alias("p"), "term", "other", "gap")
+    moved = index.join(few(kinds, n_probes), "term").select("row", "position", (F.col("position") + F.col("gap")).alias("p"), "term", "other", "gap")
     met = moved.join(index.select("row", F.col("position").alias("p"), F.col("term").alias("other")), ["row", "p", "other"])
-    return met.join(small(probes, n_probes), ["term", "other", "gap"]).select("row", "source", (F.col("position") - F.col("place")).alias("shift")).distinct()
+    return met.join(few(probes, n_probes), ["term", "other", "gap"]).select("row", "window", (F.col("position") - F.col("place")).alias("start")).where("start >= 0").distinct()
+
+
+def _no_names() -> Column:
+    return F.expr("cast(array() as array<string>)")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def _checked(ws: Workspace, docs: DataFrame, parts: DataFrame, id_col: str, text_col: str, keep: list[str], most: int) -> DataFrame:
+    """k0.. (the kept columns), row, n_words, hits, held (the windows found) for every row."""
+    named = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("row", F.xxhash64("id", "text"))
+    found = phrase_hits(ws, named.select("id", "text", "row"), parts, most)
+    by_row = ws.store(found, "places").groupBy("row").agg(F.collect_list(F.struct("window", "start")).alias("c"))
+    # places grow with the texts, so at no size are they broadcast
+    full = named.join(by_row.hint("merge"), "row", "left").withColumn("words", words(F.col("text")))
+    size = lambda c: F.size(F.split(c.window, " "))
+    real = F.when(F.col("c").isNotNull(), F.filter("c", lambda c: F.array_join(F.slice("words", c.start + 1, size(c)), " ") == c.window))
+    out = full.select(*[f"k{i}" for i in range(len(keep))], "row", F.size("words").cast("long").alias("n_words"), real.alias("x"))
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform("x", lambda c: F.sequence(c.start, c.start + size(c) - 1)))))
+    held = F.coalesce(F.array_distinct(F.transform("x", lambda c: c.window)), _no_names())
+    return out.select(*out.columns[:-1], F.coalesce(F.when(F.size("x") > 0, places), F.expr("cast(array() as array<int>)")).alias("hits"), held.alias("held"))
+
+
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    size: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    most: int = BROADCAST_ROWS,
+) -> DataFrame:
     """For every row: id, n_words, hits (places of words within a window's occurrence, sorted), items (ids of items
-    with occurring windows, sorted as strings), and the text on request."""
+    with occurring windows, sorted as strings)."""
     ws = Workspace(docs.sparkSession, "decontaminate")
     items = ws.store(items_of(benchmark, item_col, item_text_col), "items")
-    n_words = items.agg(F.sum(F.size("w"))).first()[0] or 0  # items of up to a million words, some ten megabytes, are broadcast
-    texts = keyed(docs, id_col, text_col)
-    found = phrase_hits(ws, texts, windows(items, size))
-    placed = ws.store(found.join(small(items, n_words // 10), "source").select("row", "item", "shift", "w"), "places")
-    by_row = placed.groupBy("row").agg(F.collect_list(F.struct("item", "shift", "w")).alias("c"))
-    # places grow with the texts, so at no size are they broadcast
-    full = texts.join(by_row.hint("merge"), "row", "left").withColumn("words", words(F.col("text")))
-
-    def covered(c: Column) -> Column:
-        """Places of the text's words that windows of candidate c cover."""
-        n = F.size(c.w)
-        width = F.least(n, F.lit(size))
-        same = F.transform(c.w, lambda w, k: F.coalesce(F.when(k + c.shift >= 0, F.get(F.col("words"), k + c.shift)) == w, F.lit(False)))
-        # length of the run of equal words that ends at each place; a window ends where it is at least the width
-        runs = F.aggregate(same, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.when(s, F.element_at(acc, -1) + 1).otherwise(F.lit(0)))))
-        ends = F.filter(F.transform(runs, lambda r, k: F.when(r >= width, k)), lambda k: k.isNotNull())
-        return F.flatten(F.transform(ends, lambda e: F.sequence(c.shift + e - width, c.shift + e - 1)))
-
-    checked = F.filter(F.transform(F.coalesce("c", F.expr("array()")), lambda c: F.struct(c.item.alias("item"), covered(c).alias("at"))), lambda x: F.size(x.at) > 0)
-    out = full.select("id", "text", F.size("words").cast("long").alias("n_words"), F.when(F.col("c").isNotNull(), checked).alias("x"))
-    return out.select(
-        F.col("id").alias(id_col),
-        "n_words",
-        F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("x", lambda x: x.at)))), F.expr("cast(array() as array<int>)")).alias("hits"),
-        F.coalesce(F.array_sort(F.array_distinct(F.transform("x", lambda x: x.item))), F.expr("cast(array() as array<string>)")).alias("items"),
-        *([F.col("text").alias(text_col)] if keep_text else []),
-    )
+    parts = ws.store(windows(items, size), "item-windows")
+    out = ws.store(_checked(ws, docs, parts, id_col, text_col, [id_col], most), "checked")
+    # only rows with hits meet the items; texts of one key are equal, so their windows are as well
+    n_parts = parts.count()
+    few = lambda df: F.broadcast(df) if n_parts <= most else df
+    held = out.where(F.size("held") > 0).select("row", F.explode("held").alias("window")).distinct()
+    of = held.join(few(parts), "window").select("row", "source").distinct().join(few(items.select("source", "item")), "source")
+    listed = of.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    dirty = out.where(F.size("held") > 0).join(listed.hint("merge"), "row", "left")
+    columns = [F.col("k0").alias(id_col), "n_words", "hits"]
+    clean_rows = out.where(F.size("held") == 0).select(*columns, _no_names().alias("items"))
+    return dirty.select(*columns, F.coalesce("items", _no_names()).alias("items")).unionByName(clean_rows)
 
 
 def proximity_hits(docs: DataFrame, queries: DataFrame, slop: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +160,7 @@ def proximity_hits(docs: DataFrame, queries: DataFrame, slop: int, id_col: str =
     asked = ws.store(queries.select("query", F.explode(F.array_distinct(words(F.col("text")))).alias("term")), "asked")
     terms = asked.select("term").distinct()
     n = terms.count()
-    index = ws.store(postings(texts, terms, n).distinct(), "postings")
+    index = ws.store(postings(ws, texts, terms, n).distinct(), "postings")
     counts = index.groupBy("term").agg(F.count("*").alias("n"))
     ranked = asked.join(counts, "term", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).term.alias("rarest"), F.count("*").alias("n_terms"))
     bucket = lambda c: F.floor(c / (slop + 1))
@@ -153,11 +173,13 @@ def proximity_hits(docs: DataFrame, queries: DataFrame, slop: int, id_col: str =
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that hold a window of the benchmark; equal rows go or stay together."""
-    state = contamination(docs, benchmark, size, id_col, text_col, keep_text=True)
-    dirty = state.where(F.size("hits") > 0).select(F.xxhash64(id_col, text_col).alias("_row")).distinct()
-    mine = docs.withColumn("_row", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    return mine.join(dirty.hint("merge"), "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the rows that hold a window of the benchmark, each judged by its own text."""
+    ws = Workspace(docs.sparkSession, "decontaminate")
+    inner = [f"d{i}" for i in range(len(docs.columns))]
+    at, text = (inner[docs.columns.index(c)] for c in (id_col, text_col))
+    parts = ws.store(windows(items_of(benchmark), size), "item-windows")
+    state = _checked(ws, docs.toDF(*inner), parts, at, text, inner, BROADCAST_ROWS)
+    return state.where(F.size("held") == 0).select(*[f"k{i}" for i in range(len(inner))]).toDF(*docs.columns)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -74,6 +75,32 @@ def test_clean_keeps_the_rest(spark):
     assert sorted(r["row"] for r in D.clean(docs, items).collect()) == ["v", "w"]
 
 
+def test_decontaminate_beyond_broadcasts(spark):
+    rng = random.Random(8)
+    vocabulary = ["the", "the", "the", *[f"w{k}" for k in range(30)]]
+    docs = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(0, 80)))) for k in range(60)]
+    items = [(k, " ".join(docs[k][1].split()[3:17])) for k in range(12)] + [(40 + k, "the the the") for k in range(3)]
+    got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most=5)
+    assert sorted(((r.doc_id, r.n_words, list(r.hits), list(r["items"])) for r in got.collect()), key=repr) == contaminated(docs, items)
+
+
+def test_decontaminate_long_item(spark):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(2000)}" for _ in range(50_000))
+    docs = [(1, "before " + long), (2, long[: len(long) // 2] + " x " + long[len(long) // 2 :]), (3, "w1 w2")]
+    start = time.time()
+    got = {r.doc_id: (r.n_words, len(r.hits), list(r["items"])) for r in D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, long)], "item_id long, text string")).collect()}
+    assert got[1] == (50_001, 50_000, ["7"]) and got[3] == (2, 0, []) and got[2][1] >= 49_990
+    assert time.time() - start < 60
+
+
+def test_clean_passes_all_columns(spark):
+    names = "doc_id long, text string, _row long, row string, k0 int, d1 string, hits int, window string, `a.b` int"
+    docs = spark.createDataFrame([(1, "a b c", 5, "u", 1, "p", 2, "q", 3), (2, "x y", 6, "v", 2, "r", 3, "s", 4), (2, "x y", 6, "v", 2, "r", 3, "s", 4)], names)
+    kept = D.clean(docs, spark.createDataFrame([(1, "B c")], "item_id long, text string"))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "x y", 6, "v", 2, "r", 3, "s", 4)] * 2
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha x x x x beta"), (3, "beta alpha"), (4, None)], "doc_id long, text string")
     queries = spark.createDataFrame([("q", "Alpha beta"), ("none", "alpha gamma")], "query string, text string")
