@@ -1,8 +1,9 @@
 """Groups of candidates and connected components, without pairs of a group and without hot tasks.
 
-`blocked` splits large groups so that no task gets more than about `most` members at once and yet each two members
-meet; `runs` reads sorted groups as a stream; `forest` links the members of one group by a spanning forest of their
-links, so rows grow with the members, not with their pairs; `components` joins links over all groups.
+`linked` gives links that connect the members of each group as all their links do, by a spanning forest, so rows grow
+with the members, not with their pairs. A group of over `most` members is cut into blocks; each holds the group's
+least member as well, and only what that member does not reach within a block meets the other blocks. `join_one` joins
+hot keys by broadcast, which their share of the rows bounds; `components` joins links over all groups.
 """
 
 from __future__ import annotations
@@ -24,23 +25,97 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def blocked(ws: Workspace, df: DataFrame, key: str, item: str, most: int, name: str) -> DataFrame:
-    """df with columns i and j: the groups to compare are those of (key, i, j).
+def join_one(many: DataFrame, one: DataFrame, key: str, total: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """many with the columns of its key's one row in `one`, which also has n, the key's rows in many; total is at least
+    their sum. Keys with more than the most-th part of the rows are fewer than `most`, so these are broadcast; of the
+    rest, joined by shuffle, none is hot."""
+    if total <= most:
+        return many.join(F.broadcast(one.drop("n")), key)
+    hot = one.where(F.col("n") > total / most)
+    cold = one.where(F.col("n") <= total / most)
+    by_hot = many.join(F.broadcast(hot.drop("n")), key)
+    by_cold = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.drop("n").hint("merge"), key)
+    return by_hot.unionByName(by_cold)
 
-    A group of up to `most` rows is one, with i = j = 0. A larger one is cut into n blocks by a hash of the item, and
-    each item goes to the n pairs of blocks that hold its own, so any two items meet.
+
+Near = Callable[[int, np.ndarray], np.ndarray]
+
+
+def linked(ws: Workspace, rows: DataFrame, near_of: Callable[[pa.Table], Near], most: int, name: str) -> DataFrame:
+    """a, b: links that connect the members of each group as all its links do.
+
+    rows: key, node (long; a node stands once in a group) and what near_of needs. That gets a group's rows and gives
+    near(x, others): which of the others are linked to x, by their places in the group.
     """
-    hot = ws.store(df.groupBy(key).count().where(F.col("count") > most), name)
+    hot = ws.store(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where(F.col("n") > most), f"{name}-hot")
     n_hot = hot.count()
-    zero = F.lit(0)
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["key"]):
+            yield _edges(group, forest(group.num_rows, near_of(group)))
+        give_back()
+
     if not n_hot:
-        return df.withColumns({"i": zero, "j": zero})
-    joined = df.join(small(hot, n_hot), key, "left")
-    n = F.ceil(F.col("count") * 2 / most).cast("int")
-    own = F.pmod(F.xxhash64(item), n).cast("int")
-    pairs = F.transform(F.sequence(zero, n - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
-    pairs = F.when(F.col("count").isNull(), F.array(F.struct(zero.alias("i"), zero.alias("j")))).otherwise(pairs)
-    return joined.withColumn("pair", F.explode(pairs)).select(*df.columns, "pair.i", "pair.j")
+        return by_group(rows, "key").mapInArrow(whole, "a long, b long")
+    keys = small(hot.select("key"), n_hot)
+    cold = by_group(rows.join(keys, "key", "left_anti"), "key").mapInArrow(whole, "a long, b long")
+
+    n_blocks = F.ceil(F.col("n") * 2 / most).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = rows.join(small(hot.select("key", "pivot", n_blocks.alias("blocks")), n_hot), "key")
+    members = placed.where("node <> pivot").withColumn("block", own)
+    pivots = placed.where("node = pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def by_pivot(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["key", "block"]):
+            edges = forest(group.num_rows, near_of(group))
+            up = _stars(edges)
+            nodes = group["node"].to_numpy()
+            least = int(nodes.argmin())
+            root = up.get(least, least)
+            rest = [k for k in range(len(nodes)) if up.get(k, k) != root]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(nodes[x]) for x, _ in edges] + [int(nodes[k]) for k in rest], pa.int64()), pa.array([int(nodes[y]) for _, y in edges] + [group["key"][0].as_py()] * len(rest), pa.int64()), pa.array([False] * len(edges) + [True] * len(rest))],
+                names=["a", "b", "rest"],
+            )
+        give_back()
+
+    columns = [*rows.columns, "block"]
+    first = ws.store(by_group(members.select(*columns).unionByName(pivots.select(*columns)), "key", "block").mapInArrow(by_pivot, "a long, b long, rest boolean"), f"{name}-pivots")
+    found = cold.unionByName(first.where("not rest").select("a", "b"))
+    left = first.where("rest").select(F.col("a").alias("node"), F.col("b").alias("key"))
+    portions = ws.store(left.groupBy("key").agg(F.ceil(F.count("*") * 2 / most).cast("int").alias("portions")), f"{name}-rest")
+    n_rest = portions.count()
+    if not n_rest:
+        return found
+    in_rest = members.join(small(portions, n_rest), "key")
+    mine = in_rest.join(left, ["key", "node"], "left_semi").withColumn("portion", F.pmod(F.xxhash64("node", F.lit(7)), F.col("portions")).cast("int"))
+    mine = mine.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = in_rest.withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)))
+    meeting = [*columns, "portion"]
+    both = mine.select(*meeting, F.lit(True).alias("asks")).unionByName(others.select(*meeting, F.lit(False).alias("asks")))
+
+    def by_rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["key", "block", "portion"]):
+            near, every = near_of(group), np.arange(group.num_rows)
+            edges: list[tuple[int, int]] = []
+            tree: dict[int, int] = {}
+            for x in np.flatnonzero(group["asks"].to_numpy(zero_copy_only=False)).tolist():
+                for y in every[near(x, every)].tolist():
+                    a, b = _root(tree, x), _root(tree, y)
+                    if a != b:
+                        tree[max(a, b)] = min(a, b)
+                        edges.append((x, y))
+            yield _edges(group, edges)
+        give_back()
+
+    return found.unionByName(by_group(both, "key", "block", "portion").mapInArrow(by_rest, "a long, b long"))
+
+
+def _edges(group: pa.Table, edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    nodes = group["node"].to_numpy()
+    ends = np.array(edges, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(nodes[ends[:, 0]]), pa.array(nodes[ends[:, 1]])], names=["a", "b"])
 
 
 def by_group(df: DataFrame, *keys: str) -> DataFrame:
@@ -84,7 +159,7 @@ def _long(parts: list[pa.Table]) -> Iterator[pa.Table]:
         yield pa.concat_tables(parts).combine_chunks()
 
 
-def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+def forest(n: int, near: Near) -> list[tuple[int, int]]:
     """Tree edges that connect 0..n-1 as all links do. near(x, others): which of the others are linked to x."""
     edges: list[tuple[int, int]] = []
     rest = np.arange(n)
@@ -101,23 +176,23 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[
     return edges
 
 
+def _root(up: dict[int, int], x: int) -> int:
+    top = x
+    while (y := up.get(top, top)) != top:
+        top = y
+    while up.get(x, x) != top:
+        up[x], x = top, up[x]
+    return top
+
+
 def _stars(edges: Iterable[tuple[int, int]]) -> dict[int, int]:
     """Union-find: each node's smallest reachable node."""
     up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = x
-        while (y := up.get(top, top)) != top:
-            top = y
-        while up.get(x, x) != top:
-            up[x], x = top, up[x]
-        return top
-
     for a, b in edges:
-        a, b = root(a), root(b)
+        a, b = _root(up, a), _root(up, b)
         if a != b:
             up[max(a, b)] = min(a, b)
-    return {x: root(x) for x in list(up)}
+    return {x: _root(up, x) for x in list(up)}
 
 
 def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
@@ -125,7 +200,8 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
 
     Distributed union-find: each partition first shrinks its edges to stars by union-find in memory; then large-star
     and small-star steps hang all neighbours of a node from the smallest, until a round changes nothing. Rounds grow
-    with the logarithm of the nodes. Each round's edges are a table in the shared folder.
+    with the logarithm of the nodes. Each round's edges are a table in the shared folder. A hub's edges are joined
+    where they lie, by join_one.
     """
 
     def shrink(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,11 +233,14 @@ def components(ws: Workspace, edges: DataFrame, name: str) -> DataFrame:
     now, mark = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(shrink, "u long, v long").distinct(), 0)
     k = 0
     while mark[0]:
+        total = 2 * mark[0]
+        # what hot and other keys are taken from is made once
+        held = (lambda df, _: df) if total <= BROADCAST_ROWS else (lambda df, part: ws.store(df, f"{name}-{part}"))
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("lo")).select("u", F.least("u", "lo").alias("lo"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("lo").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("lo"))
-        star = large.join(low, "u").select(F.col("v").alias("u"), F.col("lo").alias("v")).where("u <> v").union(low).distinct()
+        least = held(both.groupBy("u").agg(F.least("u", F.min("v")).alias("lo"), F.count("*").alias("n")), "least")
+        large = held(join_one(both.where("v > u"), least, "u", total).select(F.col("v").alias("u"), F.col("lo").alias("v")).where("u <> v").distinct(), "large")
+        low = held(large.groupBy("u").agg(F.min("v").alias("lo"), F.count("*").alias("n")), "low")
+        star = join_one(large, low, "u", total).select(F.col("v").alias("u"), F.col("lo").alias("v")).where("u <> v").union(low.select("u", "lo")).distinct()
         k += 1
         nxt, new_mark = stored(star, k)
         ws.drop(f"{name}-{k - 1}")

@@ -8,11 +8,13 @@ by candidate components and verified there by the exact Jaccard similarity of th
 joined by distributed union-find, and each component keeps its first line (by id, nulls last, then line number).
 
 Equal lines are one node, whatever their number: a task gives out a line's bands once, and positions are reduced to
-the first before they meet. A large candidate component is verified in blocks of bounded size, giving a spanning
-forest of its links, never all pairs. To fetch candidate lines' texts, a bit set of fixed size (8 MB) is broadcast
+the first before they meet. A candidate component of over `MOST` lines, which chance may have chained, is verified
+band by band; a band of over `MOST` lines in blocks that share its first line. Both give a spanning forest of links,
+never all pairs. To fetch candidate lines' texts, a bit set of fixed size (8 MB) is broadcast
 that all candidates are in; what it lets through in vain falls out in the join that follows.
 
-Lines of ASCII white space only are blank: never compared, never dropped. Lines shorter than a shingle are alike only
+Lines of ASCII white space only are blank: never compared, never dropped. Lines of other white space only are compared
+as the empty line, so one stays of all of them. Lines shorter than a shingle are alike only
 if equal. Null and empty texts have no lines and come back as they are. Of equal rows (id and text) the first keeps
 lines, the others keep none. Lines are told apart by 64-bit hashes of their compared form. Other columns are passed
 through whatever their names.
@@ -29,12 +31,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Workspace, by_bytes, give_back, table
-from .groups import blocked, by_group, components, forest, runs
+from .groups import components, linked, small
 
 SHINGLE, ROWS, BANDS = 7, 6, 12
 BINS = ROWS * BANDS
 THRESHOLD = 0.8
-MOST = 4096  # lines of a candidate component that one task compares at a time
+MOST = 512  # lines of a group that one task compares at a time
 SEEN = 1_000_000
 CHUNK = 1 << 20
 BLANK = " \t\r\x0b\x0c"
@@ -252,29 +254,38 @@ def candidate_forms(keyed: DataFrame, bits: np.ndarray) -> DataFrame:
 
 def verified_links(ws: Workspace, gathered: DataFrame, threshold: float, most: int = MOST) -> DataFrame:
     """a, b: links between lines (component, node, form) of one candidate component that share a band and reach the
-    threshold."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["component", "i", "j"]):
-            own = dict(zip(group["node"].to_pylist(), group["form"].to_pylist(), strict=True))
-            nodes, forms = list(own), list(own.values())
-            keys = band_keys(signatures(forms))
-            sets = ShingleSets(forms)
-
-            def near(x: int, others: np.ndarray) -> np.ndarray:
-                hit = (keys[others] == keys[x]).any(axis=1)
-                if hit.any():
-                    with_band = others[hit]
-                    common = sets.common(x, with_band)
-                    hit[hit] = common >= threshold * (sets.sizes[x] + sets.sizes[with_band] - common)
-                return hit
-
-            edges = forest(len(nodes), near)
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[e[k]] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    threshold. A component of over `most` lines is taken apart into its bands."""
+
+    def near_of(group: pa.Table):
+        forms = group["form"].to_pylist()
+        keys, sets = band_keys(signatures(forms)), ShingleSets(forms)
+
+        def near(x: int, others: np.ndarray) -> np.ndarray:
+            hit = (keys[others] == keys[x]).any(axis=1)
+            if hit.any():
+                with_band = others[hit]
+                common = sets.common(x, with_band)
+                hit[hit] = common >= threshold * (sets.sizes[x] + sets.sizes[with_band] - common)
+            return hit
+
+        return near
+
+    def bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_bytes(batches, "form", 1 << 18):
+            keys = band_keys(signatures(part.column("form").to_pylist()))
+            each = np.repeat(np.arange(len(keys)), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("node").take(pa.array(each)), part.column("form").take(pa.array(each))], names=["key", "node", "form"])
         give_back()
 
-    split = blocked(ws, gathered, "component", "node", most, "large")
-    return by_group(split, "component", "i", "j").mapInArrow(run, "a long, b long")
+    large = ws.store(gathered.groupBy("component").count().where(F.col("count") > most).select("component"), "large")
+    n_large = large.count()
+    rows = gathered.select(F.col("component").alias("key"), "node", "form")
+    if n_large:
+        hint = small(large, n_large)
+        chained = gathered.join(hint, "component", "left_semi").select("node", "form").mapInArrow(bands, "key long, node long, form string")
+        whole = gathered.join(hint, "component", "left_anti").select(F.col("component").alias("key"), "node", "form")
+        rows = ws.store(whole.unionByName(chained), "grouped")
+    return linked(ws, rows, near_of, most, "lines-alike")
 
 
 def kept_lines(ws: Workspace, keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -8,8 +8,9 @@ labels of `radius` differing positions leave some v orthogonal to all of them, a
 so each pair within the radius meets in one of the 2^(radius+1) - 1 tables, without exception. Distances are then
 checked exactly.
 
-Equal fingerprints are one node, whatever the number of copies. Groups of one table's key are compared in blocks of
-bounded size and give a spanning forest of their links, never all pairs. Components come from distributed union-find.
+Equal fingerprints are one node, whatever the number of copies, and copies get their node's component by a join that
+spreads hot fingerprints. Groups of one table's key are compared in blocks of bounded size and give a spanning forest
+of their links, never all pairs. Components come from distributed union-find.
 
 Null and empty texts, and texts of white space only, have fingerprint zero, linked as any other. A component's id is
 the smallest id in it, ignoring nulls (null if all are null). Repeated rows and repeated ids each keep their row. An
@@ -18,14 +19,12 @@ empty table gives an empty result. Only id and text are read, so extra columns c
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Workspace, give_back, map_texts, table
-from .groups import blocked, by_group, components, forest, runs
+from .groups import components, join_one, linked
 
 MOST = 4096  # members of a group that one task compares at a time
 
@@ -79,42 +78,33 @@ def fingerprints(df: DataFrame, keep: list[str], text_col: str = "text") -> Data
 def links(ws: Workspace, prints: DataFrame, radius: int = 4, most: int = MOST) -> DataFrame:
     """a, b: links between the distinct fingerprints `fp` that connect all within the radius."""
     tables = [F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("m")) for k, m in enumerate(covering_masks(radius))]
-    rows = prints.select("fp", F.explode(F.array(*tables)).alias("x")).select(F.xxhash64("x.t", "x.m").alias("key"), "fp")
-
-    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[int] = []
-        b: list[int] = []
-        for run in runs(batches, ["key", "i", "j"]):
-            fp = run["fp"].to_numpy()
-            bare = fp.view(np.uint64)
-            for x, y in forest(len(fp), lambda x, others: np.bitwise_count(bare[x] ^ bare[others]) <= radius):
-                a.append(int(fp[x]))
-                b.append(int(fp[y]))
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        give_back()
-
-    split = blocked(ws, rows, "key", "fp", most, "hot-keys")
-    return by_group(split, "key", "i", "j").mapInArrow(near, "a long, b long")
+    rows = prints.select("fp", F.explode(F.array(*tables)).alias("x")).select(F.xxhash64("x.t", "x.m").alias("key"), F.col("fp").alias("node"))
+
+    def near_of(group: pa.Table):
+        bare = group["node"].to_numpy().view(np.uint64)
+        return lambda x, others: np.bitwise_count(bare[x] ^ bare[others]) <= radius
+
+    return linked(ws, rows, near_of, most, "keys")
 
 
 def near_groups(ws: Workspace, found: DataFrame, id_col: str, radius: int = 4) -> DataFrame:
-    """fp, label (the component's smallest fingerprint) and component_id for each fingerprint of `found`."""
-    prints = ws.store(found.groupBy("fp").agg(F.min(id_col).alias("first")), "prints")
+    """fp, n (its rows), label (the component's smallest fingerprint) and component_id for each fingerprint of
+    `found`."""
+    prints = ws.store(found.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")), "prints")
     of = components(ws, links(ws, prints.select("fp"), radius), "components")
-    labelled = ws.store(prints.join(of, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("label")), "labelled")
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    return labelled.select("fp", "label").join(least, "label")
+    labelled = ws.store(prints.join(of, F.col("fp") == F.col("node"), "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("label")), "labelled")
+    least = ws.store(labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "least")
+    total = least.agg(F.sum("n")).first()[0] or 0
+    return ws.store(join_one(labelled.withColumnRenamed("n", "rows"), least, "label", total).withColumnRenamed("rows", "n"), "groups")
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """id, fingerprint (16 hexadecimal digits) and component_id for every row."""
     ws = Workspace(df.sparkSession, "simhash")
     found = ws.store(fingerprints(df, [id_col], text_col), "fingerprints")
-    groups = near_groups(ws, found, id_col, radius)
-    return found.join(groups.hint("merge"), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = near_groups(ws, found, id_col, radius).select("fp", "n", "component_id")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    return join_one(found, groups, "fp", total).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
@@ -123,15 +113,17 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     from pyspark.sql import Window
 
     ws = Workspace(df.sparkSession, "simhash")
-    keyed = df.withColumns({"_k1": F.xxhash64(id_col, text_col), "_k2": F.xxhash64(text_col, id_col)})
-    found = ws.store(fingerprints(keyed, [id_col, "_k1", "_k2"], text_col), "fingerprints")
-    groups = near_groups(ws, found, id_col, radius).select("fp", "label")
-    order = F.struct(F.col(id_col).isNull(), id_col, "_k1", "_k2").alias("o")
+    inner = [f"c{i}" for i in range(len(df.columns))]
+    at, text = (inner[df.columns.index(c)] for c in (id_col, text_col))
+    keyed = df.toDF(*inner).withColumns({"k1": F.xxhash64(at, text), "k2": F.xxhash64(text, at)})
+    found = ws.store(fingerprints(keyed, [at, "k1", "k2"], text), "fingerprints")
+    groups = near_groups(ws, found, at, radius).select("fp", "label")
+    order = F.struct(F.col(at).isNull(), at, "k1", "k2").alias("o")
     firsts = found.groupBy("fp").agg(F.min(order).alias("o")).join(groups, "fp").groupBy("label").agg(F.min("o").alias("o"))
-    firsts = firsts.select("o._k1", "o._k2")
-    one = Window.partitionBy("_k1", "_k2").orderBy("_k1")
-    kept = keyed.join(firsts.hint("merge"), ["_k1", "_k2"]).withColumn("_n", F.row_number().over(one)).where("_n = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+    firsts = firsts.select("o.k1", "o.k2")
+    one = Window.partitionBy("k1", "k2").orderBy("k1")
+    kept = keyed.join(firsts.hint("merge"), ["k1", "k2"]).withColumn("n", F.row_number().over(one)).where("n = 1")
+    return kept.select(*inner).toDF(*df.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

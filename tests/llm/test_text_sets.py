@@ -175,7 +175,65 @@ def test_simhash_blocks(spark):
     assert {n: c for n, c in one} == {fps[k]: fps[r] for k, r in enumerate(roots) if roots.count(r) > 1}
 
 
+def test_linked_in_blocks(spark):
+    """Groups over the bound: links to the first member, and of what that does not reach."""
+    ws = Workspace(spark, "test")
+    rng = random.Random(6)
+    spots = {1: [rng.randrange(300) for _ in range(90)], 2: list(range(0, 400, 40)), 3: [5, 6], 4: [9], 5: [1000 + rng.choice([0, 1, 500]) for _ in range(60)]}
+    rows = [(k, 1000 * k + n, v) for k, values in spots.items() for n, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "key long, node long, at long")
+
+    def near_of(group):
+        at = group["at"].to_numpy()
+        return lambda x, others: np.abs(at[others] - at[x]) <= 3
+
+    want = {}
+    for k, values in spots.items():
+        at = np.array(values)
+        for n, r in enumerate(components(values, lambda x, at=at: np.flatnonzero(np.abs(at - at[x]) <= 3).tolist())):
+            want[1000 * k + n] = 1000 * k + r
+    for most in (1000, 8, 2):
+        links = groups.linked(ws, df, near_of, most, f"blocks{most}").collect()
+        up = groups._stars([tuple(r) for r in links])
+        assert {n: up.get(n, n) for n in want} == want and (most < 1000 or len(links) < len(rows))
+
+
+def test_join_one(spark):
+    many = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(200)], "k long, v long")
+    one = many.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    want = sorted(map(tuple, many.join(one.drop("n"), "k").collect()))
+    for most in (1000, 5, 1):
+        assert sorted(map(tuple, groups.join_one(many, one, "k", 200, most).collect())) == want
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(groups, "BROADCAST_ROWS", 8)
+    monkeypatch.setattr(groups.join_one, "__defaults__", (8,))
+    ws = Workspace(spark, "test")
+    rng = random.Random(12)
+    edges = [(500, k) for k in range(200)] + [(900 + rng.randrange(40), 900 + rng.randrange(40)) for _ in range(40)] + [(3, 901)]
+    got = dict(map(tuple, groups.components(ws, spark.createDataFrame(edges, "a long, b long").repartition(7), "hubs").collect()))
+    up = groups._stars(edges)
+    assert got == {n: up.get(n, n) for e in edges for n in e if e[0] != e[1]}
+
+
+def test_line_links_in_bands(spark):
+    ws = Workspace(spark, "test")
+    rng = random.Random(4)
+    base = " ".join("".join(rng.choices("abdeilnorst", k=6)) for _ in range(30))
+    forms = list(dict.fromkeys(" ".join(f"zz{rng.randrange(99)}" if rng.random() < 0.03 * (k % 4) else w for w in base.split()) for k in range(120)))
+    df = spark.createDataFrame([(7, L.line_hash(f), f) for f in forms], "component long, node long, form string")
+    found = [groups._stars([tuple(r) for r in L.verified_links(Workspace(spark, "test"), df, 0.8, most).collect()]) for most in (4096, 16)]
+    keys, sets = L.band_keys(L.signatures(forms)), [L.shingles(f) for f in forms]
+    roots = components(forms, lambda x: [y for y in np.flatnonzero((keys == keys[x]).any(axis=1)).tolist() if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])])
+    parts = lambda of: sorted(sorted(L.line_hash(f) for f in forms if of(f) == r) for r in {of(f) for f in forms})
+    want = parts(lambda f: roots[forms.index(f)])
+    assert [parts(lambda f, up=up: up.get(L.line_hash(f), L.line_hash(f))) for up in found] == [want, want] and 1 < len(want) < len(forms)
+
+
 def test_keep_one(spark):
+    clash = spark.createDataFrame([(1, "a b", 5, 6, 7, 8), (2, "a b", 5, 6, 7, 8)], "doc_id long, text string, _k1 long, k1 long, _n long, n long")
+    assert [tuple(r) for r in simhash.keep_one(clash).collect()] == [(1, "a b", 5, 6, 7, 8)]
     rows = [(5, "a b c d e f"), (2, "A b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (7, "other words in here now"), (8, None), (9, ""), (2, "entirely different set of words")]
     df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, fp int")
     kept = simhash.keep_one(df)
