@@ -25,7 +25,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def join_one(many: DataFrame, one: DataFrame, key: str, total: int, most: int = BROADCAST_ROWS) -> DataFrame:
+def join_one(many: DataFrame, one: DataFrame, key: str | list[str], total: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """many with the columns of its key's one row in `one`, which also has n, the key's rows in many; total is at least
     their sum. Keys with more than the most-th part of the rows are fewer than `most`, so these are broadcast; of the
     rest, joined by shuffle, none is hot."""
@@ -34,7 +34,7 @@ def join_one(many: DataFrame, one: DataFrame, key: str, total: int, most: int =
     hot = one.where(F.col("n") > total / most)
     cold = one.where(F.col("n") <= total / most)
     by_hot = many.join(F.broadcast(hot.drop("n")), key)
-    by_cold = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.drop("n").hint("merge"), key)
+    by_cold = many.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(cold.drop("n").hint("merge"), key)
     return by_hot.unionByName(by_cold)
 
 
