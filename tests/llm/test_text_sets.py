@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
 from fordway.llm import decontaminate as D, groups, line_dedup as L, secrets as S, sharding, simhash, toxicity as X
@@ -370,6 +371,15 @@ def test_shard_plan():
         assert not any(sizes[k] >= 50 for k in flat)
 
 
+def test_shard_splits(spark):
+    assert sharding.parts_of([10, 201, 900, 900, 450], [5, 5, 1, 3, 50], 100) == {1: 3, 3: 3, 4: 5}
+    known = StructType.fromDDL("a int, B string")
+    assert sharding.joined(known, StructType.fromDDL("c long, a int")).names == ["a", "B", "c"]
+    for other in ("a long", "b string"):
+        with pytest.raises(ValueError):
+            sharding.joined(known, StructType.fromDDL(other))
+
+
 def test_shards(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target=200_000, base=1000, most_rows=7)
@@ -379,10 +389,16 @@ def test_shards(spark, sf, tmp_path):
     assert store.version() == 3 and sum(s.rows for s in before) == docs.count() and max(s.rows for s in before) <= 7
     version = store.compact()
     assert version == 4 and len(store.shards()) < len(before) and store.compact() == version
+    assert max(s.bytes for s in store.shards() if s.rows > 1) < 2 * store.target
     assert store.read(3).count() == store.read().count() == docs.count()
     with pytest.raises(sharding.Conflict):
-        store.commit([], version)
+        store.commit([], docs.schema, version)
+    docs.limit(3).write.parquet(f"file://{tmp_path}/s/data-{'0' * 32}")  # a writer that failed
     store.vacuum()
+    assert (tmp_path / "s" / f"data-{'0' * 32}").exists() and store._versions() == [version]
+    store.vacuum(grace=0)
+    named = {s.file for s in store.shards()}
+    assert {f"{x.parent.name}/{x.name}" for x in (tmp_path / "s").glob("data-*/part*")} == named and not list((tmp_path / "s" / "aside").iterdir())
     assert sorted(map(tuple, store.read().select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
     where = sharding.located(store)
     assert where.count() == docs.count() and where.agg(F.sum("n_bytes")).first()[0] == sum(s.bytes for s in store.shards())
@@ -390,9 +406,46 @@ def test_shards(spark, sf, tmp_path):
     small.append(spark.createDataFrame([(None, None, 1, "x"), (1, "", 2, "y")], "doc_id long, text string, shard int, file string"))
     assert sharding.located(small).count() == 2 and small.read().columns == ["doc_id", "text", "shard", "file"]
     empty = sharding.ShardStore(spark, f"file://{tmp_path}/e")
-    empty.append(docs.limit(0))
-    empty.compact()
     assert sharding.located(empty).count() == 0
+    empty.append(docs.limit(0).withColumn("doc_id", F.col("doc_id").cast("string")))
+    empty.compact()
+    assert sharding.located(empty).schema["doc_id"].dataType.simpleString() == "string" and empty.read().count() == 0
+    empty.remove()
+    assert not (tmp_path / "e").exists()
+
+
+def test_shards_of_differing_arrivals(spark, tmp_path, monkeypatch):
+    """Whatever the order of the folders' names, no column is lost."""
+    for turn in (0, 1):
+        names = iter([f"{k:032x}" for k in (range(50, 90) if turn else range(90, 50, -1))])
+        monkeypatch.setattr(sharding.uuid, "uuid4", lambda names=names: type("U", (), {"hex": next(names)}))
+        store = sharding.ShardStore(spark, f"file://{tmp_path}/d{turn}", fanout=2)
+        store.append(spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string").coalesce(1))
+        store.append(spark.createDataFrame([(9, 3, "b")], "more long, doc_id long, text string").coalesce(1))
+        with pytest.raises(ValueError):
+            store.append(spark.createDataFrame([(4, "c", "x")], "doc_id long, text string, more string"))
+        store.append(spark.createDataFrame([("d",)], "text string").selectExpr("cast(null as long) as doc_id", "text").coalesce(1))
+        store.compact()
+        store.vacuum(grace=0)
+        assert store.read().columns == ["doc_id", "text", "more"] and len(store.shards()) == 1
+        assert sorted(map(tuple, store.read().collect()), key=repr) == sorted([(1, "a", None), (2, None, None), (3, "b", 9), (None, "d", None)], key=repr)
+
+
+def test_shards_split_long_files(spark, tmp_path):
+    docs = spark.range(60).selectExpr("id as doc_id", "repeat('x', 1000) as text").coalesce(1)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/l", target=10_000, base=1000)
+    store.append(docs)
+    assert [s.rows for s in store.shards()] == [60]
+    store.compact()
+    assert sorted(s.rows for s in store.shards()) == [10] * 6 and store.read().select("doc_id").distinct().count() == 60
+
+
+def test_op5(spark, sf):
+    got = sharding.op5_sharding(spark, sf).collect()
+    assert sorted((r.doc_id, r.n_bytes) for r in got) == sorted((d, len((t or "").encode())) for d, t in documents(spark, sf))
+    assert {r.version for r in got} == {max(r.version for r in got)} and got[0].version >= 4
+    parts = sharding.arrivals(spark.read.parquet(f"{sf}/documents.parquet", f"{sf}/documents.parquet"), 2)
+    assert [p.count() for p in parts] in ([200, 200], [p.count() for p in parts]) and sum(p.count() for p in parts) == 400
 
 
 def characters(text):
