@@ -88,14 +88,23 @@ def _small(part: str) -> bool:
     return len(part) <= 3 and int(part or 0) <= 255
 
 
-# Letters of other scripts and the Latin ones they look like.
-LOOKALIKES = dict(
-    zip(
-        "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧονı",
-        "ABESIJKMHOPCTYXaesijopcyxdhlABEZHIKMNOPTYXovi",
-        strict=True,
-    )
-)
+# Letters of other scripts and the ASCII ones they look like.
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһӏԍԛԝкмнтвгԚԜҺӀԌ", "ABESIJKMHOPCTYXaesijopcyxdhlgqwkmhtbrQWHlG", strict=True))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳονικρυχωϲγ", "ABEZHIKMNOPTYXCjovikpuxwcy", strict=True))
+ARMENIAN = dict(zip("ՍՕոսցօհզ", "UOnugohq", strict=True))
+CHEROKEE = dict(zip("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏆᏒᏔᏕᏙᏚᏞᏟᏢᏦᏭ", "DRTiAJEWMHYGhZIRWSVSLCPKG", strict=True))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+LATIN = dict(zip("ıɑɡɩɪʏʀʟɴɢʙʜᴀᴄᴅᴇᴊᴋᴍᴏᴘᴛᴜᴠᴡᴢꜱ", "iagiiyrlngbhacdejkmoptuvwzs", strict=True))
+LOOKALIKES = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | LISU | LATIN
+
+
+def compatible(c: int) -> str | None:
+    """The ASCII letter, digit or sign that a character is a styled form of (full-width, mathematical, circled, raised,
+    long s, Kelvin sign and so on), by Unicode's own compatibility mappings; letters with accents are none."""
+    plain = unicodedata.normalize("NFKC", chr(c))
+    return plain if len(plain) == 1 and plain < "\x7f" and (plain.isalnum() or plain in "@.+-_%()") else None
+
+
 # Other forms of the signs.
 SIGNS = {"＠": "@", "﹫": "@", "．": ".", "。": ".", "․": ".", "﹒": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " ", "＋": "+", "﹢": "+"}
 INVISIBLE = "­᠎​‌‍‎‏⁠﻿"
@@ -109,11 +118,12 @@ NAMES = {
 DIGIT_OF = {name: str(k) for names in NAMES.values() for k, name in enumerate(names.split())} | {"oh": "0"}
 
 FOLDED = {ord(k): v for k, v in {**LOOKALIKES, **SIGNS}.items()}
-FOLDED |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F) if c not in FOLDED}
+FOLDED |= {c: p for c in range(0x80, 0x1FBFA) if c not in FOLDED and (p := compatible(c))}
+FOLDED |= {0x130: "I"}  # its small form would else be two characters
 FOLDED |= {c: str(unicodedata.decimal(chr(c))) for c in range(0x80, 0x1FBFA) if unicodedata.decimal(chr(c), None) is not None and c not in FOLDED}
 FOLDED |= dict.fromkeys(map(ord, INVISIBLE), "")
 ODD = re.compile("[" + "".join(map(re.escape, map(chr, FOLDED))) + "]")
-FAR = re.compile("[\xa0\xadı\u0180-\U0010ffff]")  # a quick look: every folded character is one of these
+FAR = re.compile("[\xa0\xaa\xad\xb2\xb3\xb9\xbaıİſ\u0149\u0180-\U0010ffff]")  # a quick look: every folded character is one of these
 assert all(FAR.match(chr(c)) for c in FOLDED)
 
 _NAME = "(?:" + "|".join(sorted(DIGIT_OF, key=len, reverse=True)) + ")"
@@ -122,24 +132,28 @@ PLUS = re.compile(r"(?<!\w)(?:plus|más)[ -](?=[0-9])", re.I)
 # Disguised signs in brackets, and bare words. Bare words count in a whole address only, with a spelled dot before one
 # of these endings (fixed values; endings that are words of the four languages are left out).
 AT_WORD, DOT_WORD = r"(?:at|arroba|chez|ät)", r"(?:dot|punto|punkt|point)"
-ENDINGS = "com org net edu gov mil int info biz io dev app uk eu fr us ca au ch nl example test invalid"
+ENDINGS = "com org net edu gov mil int info biz io dev app co uk eu fr us ca au ch nl example test invalid"
+# Endings that are words as well, by the names of the dot that they may follow.
+WORD_ENDINGS = {"dot|punkt": "de", "dot|punto": "es it"}
+_ENDED = "|".join([rf"{DOT_WORD} (?:{'|'.join(ENDINGS.split())})", *(rf"(?:{dots}) (?:{'|'.join(found.split())})" for dots, found in WORD_ENDINGS.items())])
 BRACKETED_AT = re.compile(rf"\s?[\[({{<]\s?(?:{AT_WORD}|@)\s?[\])}}>]\s?", re.I)
 BRACKETED_DOT = re.compile(rf"\s?[\[({{<]\s?(?:{DOT_WORD}|\.)\s?[\])}}>]\s?", re.I)
 BRACKETED = re.compile(rf"[\[({{<]\s?(?:{AT_WORD}|{DOT_WORD}|[@.])\s?[\])}}>]", re.I)
 BARE = re.compile(
-    rf"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.| {DOT_WORD} )[A-Za-z0-9_%+-]+){{0,4}}(?: {AT_WORD} |@)[A-Za-z0-9-]+(?: {DOT_WORD} [A-Za-z0-9-]+){{0,3}} {DOT_WORD} (?:{'|'.join(ENDINGS.split())})(?![\w-])",
+    rf"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.| {DOT_WORD} )[A-Za-z0-9_%+-]+){{0,4}}(?: {AT_WORD} |@)[A-Za-z0-9-]+(?: {DOT_WORD} [A-Za-z0-9-]+){{0,3}} (?:{_ENDED})(?![\w-])",
     re.I,
 )
-# a bare "at" before a written domain counts after a name that no plain word would be
+# a bare "at" before a written domain, of those endings or any country's two letters, counts after a name that no plain
+# word would be
 BARE_BEFORE_DOMAIN = re.compile(
-    rf"(?<![\w.%+-])(?=[A-Za-z0-9._%+-]*[0-9._])(?=[0-9._%+-]*[A-Za-z])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*( {AT_WORD} )[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{'|'.join(ENDINGS.split())})(?![\w-])",
+    rf"(?<![\w.%+-])(?=[A-Za-z0-9._%+-]*[0-9._])(?=[0-9._%+-]*[A-Za-z])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*( {AT_WORD} )[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{'|'.join(ENDINGS.split())}|[A-Za-z]{{2}})(?![\w-])",
     re.I,
 )
 BARE_AT, BARE_DOT = re.compile(rf" {AT_WORD} ", re.I), re.compile(rf" {DOT_WORD} ", re.I)
 NUMBER_DOT = re.compile(rf"(?<=[0-9]) {DOT_WORD} (?=[0-9])", re.I)
 WORDS = re.compile(r"\w+")
 DOTS, PLUSES = frozenset(("dot", "punto", "punkt", "point")), frozenset(("plus", "más"))
-ATS, ENDING_WORDS = frozenset(("at", "arroba", "chez", "ät")), frozenset(ENDINGS.split())
+ATS = frozenset(("at", "arroba", "chez", "ät"))
 
 
 class Tape:
@@ -190,7 +204,7 @@ def normalise(text: str) -> Tape:
             edits += [(m.start() + x.start(), m.start() + x.end(), "@") for x in BARE_AT.finditer(m[0])]
             edits += [(m.start() + x.start(), m.start() + x.end(), ".") for x in BARE_DOT.finditer(m[0])]
         tape.rewrite(sorted(edits))
-    if not words.isdisjoint(ATS) and not words.isdisjoint(ENDING_WORDS):
+    if not words.isdisjoint(ATS):
         tape.rewrite([(m.start(1), m.end(1), "@") for m in BARE_BEFORE_DOMAIN.finditer(tape.text)])
     return tape
 
