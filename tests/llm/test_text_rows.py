@@ -105,11 +105,60 @@ def test_media_frames():
     rng = np.random.default_rng(0)
     for samples in (rng.integers(0, 256, (40, M.FRAME), dtype=np.uint8), np.zeros((1, M.FRAME), np.uint8), np.full((2, M.FRAME), 255, np.uint8), np.tile(np.array([0, 255], np.uint8), (3, M.FRAME // 2))):
         data = M.write_avi(M.encode_frames(samples))
-        assert (M.decode_frames(list(M.read_avi(data))) == samples).all()
+        assert (M.decode_frames(M.read_avi(data).frames) == samples).all()
     with pytest.raises(ValueError):
-        list(M.read_avi(b"RIFFxxxxWAVE"))
+        M.read_avi(b"RIFFxxxxWAVE")
     with pytest.raises(ValueError):
-        M.scan_of(b"GIF89a")
+        M.decode_frames([b"GIF89a"])
+
+
+def mark(kind, body):
+    return b"\xff" + bytes([kind]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def plain_jpeg(rows, lengths, order):
+    """A lossless JPEG of rows of samples, bit by bit, with a Huffman table of its own and markers to be passed over."""
+    codes, code, before = {}, 0, 0
+    for symbol in order:
+        code <<= lengths[symbol] - before
+        codes[symbol], before = format(code, f"0{lengths[symbol]}b"), lengths[symbol]
+        code += 1
+    bits = ""
+    for y, row in enumerate(rows):
+        for x, v in enumerate(row):
+            d = v - (row[x - 1] if x else rows[y - 1][0] if y else 128)
+            n = abs(d).bit_length()
+            bits += codes[n] + (format(d if d > 0 else d + (1 << n) - 1, f"0{n}b") if n else "")
+    bits += "1" * (-len(bits) % 8)
+    scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    table = b"\x01" + bytes(sum(n == k for n in lengths.values()) for k in range(1, 17)) + bytes(order)
+    frame = bytes([8]) + len(rows).to_bytes(2, "big") + len(rows[0]).to_bytes(2, "big") + bytes([1, 7, 0x11, 0])
+    return b"\xff\xd8" + mark(0xFE, b"a note") + mark(0xC4, table) + mark(0xC3, frame) + mark(0xDA, bytes([1, 7, 0x10, 1, 0, 0])) + scan + b"\xff\xd9"
+
+
+def test_foreign_frames():
+    """Frames of another size and table, made apart from the encoder, in a file whose index counts from its start."""
+    import numpy as np
+
+    lengths = {0: 2, 1: 2, 2: 3, 3: 4, 4: 5, 5: 6, 6: 7, 7: 8, 8: 9}
+    rng = random.Random(1)
+    shapes = [[[rng.choice([0, 255, rng.randrange(256)]) for _ in range(7)] for _ in range(5)] for _ in range(6)]
+    files = [plain_jpeg(x, lengths, list(lengths)) for x in shapes]
+    assert (M.decode_frames(files) == np.array(shapes).reshape(6, 35)).all()
+    data = M.write_avi(files)
+    avi = M.read_avi(data)
+    assert avi.frames == files and avi.fps == 25
+    movi, idx = data.index(b"movi"), data.index(b"idx1")
+    moved = data[: idx + 8]
+    for k in range(idx + 8, len(data), 16):
+        moved += data[k : k + 8] + (int.from_bytes(data[k + 8 : k + 12], "little") + movi).to_bytes(4, "little") + data[k + 12 : k + 16]
+    assert M.read_avi(moved).frames == files
+    own = M.encode_frames(np.zeros((1, M.FRAME), np.uint8))
+    for broken in (files[0].replace(b"\xff\xc3", b"\xff\xc0"), own[0][:-40] + b"\xff\xd9", files[0][:-12] + b"\xff\xd9", files[0].replace(bytes([1, 7, 0x10, 1, 0, 0]), bytes([1, 7, 0x10, 4, 0, 0]))):
+        with pytest.raises(ValueError):
+            M.decode_frames([broken])
+    with pytest.raises(ValueError):
+        M.decode_frames([files[0], own[0]])
 
 
 def test_jpeg_markers():
@@ -132,6 +181,7 @@ def test_shots():
     cut[17:, 0], cut[17:, 9] = 0, M.FRAME
     assert M.shot_starts(M.histograms(np.zeros((30, M.FRAME), np.uint8))) == [0]
     assert M.shot_starts(cut) == [0, 17] and M.shot_starts(still[:1]) == [0]
+    assert M.shot_starts(cut[16:18]) == [0, 1] and M.shot_starts(still[:2]) == [0]  # a first difference stands alone
 
 
 def test_media_rows(spark):
@@ -146,9 +196,11 @@ def test_media_rows(spark):
         assert want[r.payload_sha256] == (r.n_bytes, r.payload_bytes, r.tail_crc32)
         assert r.payload_bytes % 576 == 0 and r.payload_bytes > 0
         assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media)
-        assert M.decode_frames(list(M.read_avi(bytes(r.media)))).tobytes()[: r.n_bytes].decode() is not None
+        assert M.decode_frames(M.read_avi(bytes(r.media)).frames).tobytes()[: r.n_bytes].decode() is not None
         assert r.clips[0].first_frame == 0 and r.clips[-1].end_frame == r.payload_bytes // 576
         assert r.clips[-1].end_s == r.clips[-1].end_frame / 25
+    clips = M.clip_rows(M.media_rows(df)).collect()
+    assert len(clips) == sum(len(r.clips) for r in rows) and all(r.start_s < r.end_s for r in clips)
     same = [r for r in rows if r.n_bytes == 0]
     assert len({(r.media_sha256, r.feature) for r in same}) == 1 and len(same) == 2
 
