@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors and the driver see: spark.checkpoint.dir. Where that is unset, as in tests, a folder of
+    our own, but only if everything runs on this machine."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     at = spark.sparkContext._jsc.sc().getCheckpointDir()
     if at.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fordway-"))
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
     return at.get().rstrip("/")
@@ -97,6 +102,18 @@ def _views(column: pa.Array) -> Iterator[memoryview | None]:
         yield None if b is None else memoryview(b)
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles among objects while a batch is worked on, nor among those that stay after it: for tables
+    that are large and hold no cycles. give_back() undoes it at a task's end."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.freeze()
+        gc.enable()
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker lives on, and other tasks' memory counts beside it."""
     gc.unfreeze()  # what a task set aside from collection

@@ -2,8 +2,9 @@ r"""Secret scans by a trigram inverted index.
 
 Each rule is a regex with the Boolean query of trigrams that its every match must contain, derived from the regex
 itself. The index lists, for each trigram that some rule asks for, the rows whose text has it (ASCII letters folded);
-it is a table in the shared folder. A rule's rows are found by intersecting and uniting its lists; only these are
-verified by the regex. A rule without mandatory trigrams (a bare run of hexadecimal digits) scans all rows.
+it is a table in the shared folder. The lists are brought together by row, so all rules' intersections and unions are
+taken in one pass, and a list that holds every row is no hot key; only rows that meet a rule's query are verified by
+the regex. A rule without mandatory trigrams (a bare run of hexadecimal digits) scans all rows.
 
 Matches are leftmost and do not overlap for each kind; a match that fails a rule's length test is dropped and not
 tried again from a later character. Positions come from the lengths of the text's parts between matches, so every step
@@ -51,6 +52,7 @@ MORE = (
 RULES = BASE + MORE
 
 ALL = ("all",)  # the query that every text meets
+PORTION = 128  # matches listed at a time
 
 
 def trigram_query(pattern: str) -> tuple:
@@ -154,14 +156,22 @@ def spans_of(rule: Rule, text: Column) -> Column:
     tested = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.least else whole
     between = F.slice(F.split(text, java(rule), -1), 1, F.size(whole))
     steps = F.zip_with(between, F.zip_with(whole, tested, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), lambda b, x: F.struct(F.char_length(b).cast("long").alias("gap"), F.char_length(x.m).cast("long").alias("n"), F.char_length(x.g).alias("tested")))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start: bigint, end: bigint, tested: int>>)").alias("found"))
+    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint, tested: int>>)")
+    nested = F.expr("cast(array() as array<array<struct<start: bigint, end: bigint, tested: int>>>)")
 
     def add(acc: Column, s: Column) -> Column:
         start = acc.at + s.gap
         here = F.struct(start.alias("start"), (start + s.n).alias("end"), s.tested.alias("tested"))
-        return F.struct((start + s.n).alias("at"), F.concat(acc.found, F.array(here)).alias("found"))
+        return F.struct((start + s.n).alias("at"), F.concat(acc.here, F.array(here)).alias("here"), acc.found.alias("found"))
 
-    found = F.aggregate(steps, empty, add).found
+    def portion(acc: Column, k: Column) -> Column:
+        # a list that grows is copied at each step, so matches are listed by portions and portions by their number
+        begun = F.struct(acc.at.alias("at"), none.alias("here"), acc.found.alias("found"))
+        return F.aggregate(F.slice(steps, k * PORTION + 1, PORTION), begun, add, lambda x: F.struct(x.at.alias("at"), F.concat(x.found, F.array(x.here)).alias("found")))
+
+    portions = F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / PORTION).cast("int"))
+    begun = F.struct(F.lit(0).cast("long").alias("at"), nested.alias("found"))
+    found = F.when(F.size(whole) > 0, F.flatten(F.aggregate(portions, begun, portion).found)).otherwise(none)
     kept = F.filter(found, lambda s: s.tested >= rule.least)
     return F.transform(kept, lambda s: F.struct(F.lit(rule.kind).alias("kind"), s.start.alias("start"), s.end.alias("end")))
 

@@ -4,7 +4,7 @@ Batches are balanced by bytes, not rows, so a task holds a few megabytes of text
 text is cut where no token can straddle: before a space that follows something else than a space. In a vocabulary
 that marks word starts by U+2581, no piece has that mark after another character (checked when the model is loaded),
 so no merge reaches over such a cut; the next part is encoded without its space, since the encoder itself puts one
-mark in front of every input.
+mark in front of every input (tried on loading, too). With any other model texts are encoded whole.
 
 Nulls count as the empty text (0 bytes, 0 tokens). Ties, repeated rows and repeated or null ids are no matter: each
 row is counted by itself. An empty table gives an empty result. Only the id and the text are read, so extra columns
@@ -42,6 +42,9 @@ def piece_counter(model_path: str, part: int = 1 << 16) -> Callable[[list[str]],
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     straddles = any(MARK in model.id_to_piece(i).lstrip(MARK) for i in range(model.get_piece_size()))
+    # nor may the cut be seen in other ways: a model without a mark in front, or one that drops it, takes texts whole
+    size = lambda text: len(model.encode(text))
+    straddles = straddles or any(size(a + gap + b) != size(a) + size(gap[1:] + b) for a in ("a", "word", "1", ".") for b in ("b", "Word", "2", ",") for gap in (" ", "  "))
 
     def count(batch: list[str]) -> list[int]:
         totals = [0] * len(batch)

@@ -338,6 +338,24 @@ def test_secrets(spark, sf):
     assert S.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_secrets_in_number(spark):
+    text = "token=abcdefgh1 é " * 3000 + "password: short secret = 'abc.defgh'"
+    got = S.scan(spark.createDataFrame([(1, text), (2, "AKIA" + "A" * 20 + " " + "0af1" * 9)], "doc_id long, text string")).collect()
+    assert {r.doc_id: [tuple(s) for s in r.base] for r in got} == {1: secrets(text), 2: secrets("AKIA" + "A" * 20 + " " + "0af1" * 9)}
+
+
+def test_shared_folder(spark, monkeypatch):
+    from fordway.llm import common
+
+    bare = type("S", (), {"conf": type("C", (), {"get": lambda self, k, d=None: d})()})()
+    empty = type("A", (), {"isEmpty": lambda self: True})
+    scala = type("J", (), {"sc": lambda self: type("X", (), {"getCheckpointDir": lambda self: empty()})()})
+    bare.sparkContext = type("C", (), {"getConf": lambda self: bare.conf, "_jsc": scala(), "master": "spark://host:7077"})()
+    with pytest.raises(RuntimeError):
+        common.shared_dir(bare)
+    assert common.shared_dir(spark)
+
+
 def test_trigram_queries():
     assert S.trigram_query(r"[0-9a-f]{32,}") == S.ALL and S.trigram_query("ab") == S.ALL
     assert S.trigram_query(r"AKIA[A-Z0-9]+") == ("and", ("tri", "aki"), ("tri", "kia"))
