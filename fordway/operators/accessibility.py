@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scores as S
 from .graph import disrupted_edges, undirected, with_lines
-from .routing import LOCAL_EDGES, shortest_paths
+from .routing import LOCAL_EDGES, shortest_paths, single_source
 from .sampling import draw_sample, in_named_districts
 from .spatial_join import nearest, spatial_join
 
@@ -42,28 +42,63 @@ def of_each(names: list[str]) -> Column:
     return F.explode(F.array(*map(F.lit, names)))
 
 
-def both_states(edges: DataFrame, disrupted: DataFrame, types: list[str]) -> DataFrame:
-    """Directed edges of both states for each service type, as the routing groups."""
-    sides = [undirected(e.select("u", "v", "key", "length")).withColumn("state", F.lit(s)) for s, e in ((NORMAL, edges), (DISRUPTED, disrupted))]
-    return reduce(DataFrame.unionByName, sides).withColumn("service_type", of_each(types))
+def distances(
+    edges: DataFrame,
+    disrupted: DataFrame | None,
+    services: DataFrame,
+    strategy: str = "auto",
+    with_path: bool = False,
+    states: tuple[str, ...] = (NORMAL, DISRUPTED),
+    types: list[str] | None = None,
+) -> DataFrame:
+    """state, service_type, node, distance, source, predecessor (, path), for the states asked for. services:
+    service_type, node_id. types: their service types, if known. A state's edges are held once for all types."""
+    if strategy == "auto":  # no state has more edges than the whole graph both ways, which is cheaper to count
+        strategy = "local" if 2 * edges.count() <= LOCAL_EDGES else "frontier"
+    graphs = {NORMAL: edges, DISRUPTED: disrupted}
+    sides = [undirected(graphs[s].select("u", "v", "key", "length")).withColumn("state", F.lit(s)) for s in states]
+    sources = services.select(of_each(list(states)).alias("state"), "service_type", F.col("node_id").alias("node"))
+    n = len(types) if types is not None else None
+    return shortest_paths(reduce(DataFrame.unionByName, sides), sources, ["state"], strategy, with_path=with_path, searches=["service_type"], n_searches=n)
 
 
-def distances(edges: DataFrame, disrupted: DataFrame, services: DataFrame, strategy: str = "auto", with_path: bool = False) -> DataFrame:
-    """state, service_type, node, distance, source, predecessor (, path). services: service_type, node_id."""
-    groups = ["state", "service_type"]
-    if strategy == "auto":  # no group has more edges than the whole graph both ways, which is cheaper to count
-        strategy = "local" if 2 * edges.count() <= LOCAL_EDGES else "frontier"
-    directed = both_states(edges, disrupted, service_types(services))
-    sources = services.select(of_each([NORMAL, DISRUPTED]).alias("state"), "service_type", F.col("node_id").alias("node"))
-    return shortest_paths(directed, sources, groups, strategy, with_path=with_path)
+def calculate_routes(
+    samples: DataFrame, services: DataFrame, nodes: DataFrame, edges: DataFrame, state: str = NORMAL, multi_source: bool = True, a_star: bool = False, strategy: str = "auto", with_path: bool = True, metric: str = "haversine"
+) -> DataFrame:
+    """The rows of distance_rows() for one state, by one search a service type or, without multi_source, by a search
+    for each service that may be the nearest (with A* on request); both at once raise ValueError. Of the latter each
+    service tried has a row."""
+    if multi_source:
+        if a_star:
+            raise ValueError("A* searches from one service to one sample")
+        types = service_types(services)
+        found = distances(edges, edges, services, strategy, with_path, (state,), types)
+        return distance_rows(samples, found, services, types, (state,))
+    asked = services.select("service_type", F.col("osm_id").alias("service"), F.col("node_id").alias("node"))
+    found = single_source(samples.select(F.col("osmid").alias("node")), asked, nodes, undirected(edges.select("u", "v", "key", "length")), a_star, metric=metric)
+    own = services.select("service_type", F.col("osm_id").alias("service"), named(services).alias("name"), "node_id", F.struct("x", "y").alias("position"))
+    places = samples.select(F.col("osmid").alias("node"), F.struct("x", "y").alias("centroid"))
+    return found.join(own, ["service_type", "service"]).join(places, "node").select(
+        F.lit(state).alias("state"),
+        F.col("name").alias("from_name"),
+        F.col("node_id").alias("from_node_id"),
+        F.col("position").alias("from_position"),
+        F.col("service").alias("from_osm_id"),
+        F.col("node").alias("to_node_id"),
+        F.col("centroid").alias("to_centroid"),
+        "service_type",
+        F.col("distance").alias("route_length"),
+        F.col("path").alias("route"),
+        F.lit(None).cast("double").alias("travel_time"),
+    )
 
 
-def distance_rows(samples: DataFrame, found: DataFrame, services: DataFrame) -> DataFrame:
+def distance_rows(samples: DataFrame, found: DataFrame, services: DataFrame, types: list[str] | None = None, states: tuple[str, ...] = (NORMAL, DISRUPTED)) -> DataFrame:
     """The flat record of each sample, service type and state: an infinite length and no service where none is in
     reach. Of services that share a node the first by id is named."""
     firsts = services.groupBy("service_type", "node_id").agg(F.min(F.struct("osm_id", named(services).alias("name"), "x", "y")).alias("s"))
-    wanted = samples.select(F.col("osmid").alias("to_node_id"), F.struct("x", "y").alias("to_centroid"), of_each(service_types(services)).alias("service_type"))
-    wanted = wanted.withColumn("state", of_each([NORMAL, DISRUPTED]))
+    wanted = samples.select(F.col("osmid").alias("to_node_id"), F.struct("x", "y").alias("to_centroid"), of_each(types if types is not None else service_types(services)).alias("service_type"))
+    wanted = wanted.withColumn("state", of_each(list(states)))
     path = F.col("path") if "path" in found.columns else F.lit(None).cast("array<long>")
     hit = found.select("state", "service_type", F.col("node").alias("to_node_id"), "distance", "source", path.alias("route"))
     out = wanted.join(hit, ["state", "service_type", "to_node_id"], "left").join(firsts.withColumnRenamed("node_id", "source"), ["service_type", "source"], "left")
@@ -107,15 +142,17 @@ def robustness_of_networks(
     strategy: str = "auto",
     lonlat: bool = True,
     exclude_bridges: bool = True,
+    with_path: bool = False,
 ) -> DataFrame:
     """The whole calculation: split the graph, draw samples, keep those in named districts, snap services, route in
-    both states. Without an area all nodes are samples. Gives the rows of distance_rows()."""
+    both states. Without an area all nodes are samples. Gives the rows of distance_rows(), with routes on request."""
     wet = disrupted_edges(with_lines(edges, nodes), hazard, exclude_bridges)
     chosen = nodes if area is None else draw_sample(nodes, area, samples, distance_m, lonlat=lonlat)
     if districts is not None:
         chosen = in_named_districts(chosen, districts)
     snapped = services if "node_id" in services.columns else prepare_services(services, nodes, "haversine" if lonlat else "planar")
-    return distance_rows(chosen, distances(edges, wet, snapped, strategy), snapped)
+    types = service_types(snapped)
+    return distance_rows(chosen, distances(edges, wet, snapped, strategy, with_path, types=types), snapped, types)
 
 
 def overall(scored: DataFrame) -> DataFrame:

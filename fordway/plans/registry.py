@@ -334,25 +334,30 @@ def boundary_filter(spark, d):
 # Routing and scores
 
 
-def _distances(spark, d, with_path: bool = False) -> DataFrame:
+#: The service types of the fixture.
+TYPES = ["fire_station", "hospital"]
+
+
+def _distances(spark, d, with_path: bool = False, states: tuple[str, ...] = (A.NORMAL, A.DISRUPTED), strategy: str = "auto") -> DataFrame:
     e = edges(spark, d)
-    return A.distances(e, R.disrupted_edges(e, hazard(spark, d)), services(spark, d), with_path=with_path)
+    dry = R.disrupted_edges(e, hazard(spark, d)) if A.DISRUPTED in states else None
+    return A.distances(e, dry, services(spark, d), strategy, with_path, states, TYPES)
 
 
 def _scored(spark, d) -> DataFrame:
     """service_type, osmid, x, y, route_length_normal, route_length_disrupted, score for all nodes."""
-    rows = A.distance_rows(nodes(spark, d), _distances(spark, d), services(spark, d))
+    rows = A.distance_rows(nodes(spark, d), _distances(spark, d), services(spark, d), TYPES)
     return A.scores(rows).select("service_type", F.col("to_node_id").alias("osmid"), "to_centroid.x", "to_centroid.y", "route_length_normal", "route_length_disrupted", "score")
 
 
 @query("SELECT service_type, node, d AS distance FROM dist WHERE state = 'normal'", "scored")
 def multi_source_normal(spark, d):
-    return _distances(spark, d).where("state = 'normal'").select("service_type", "node", "distance")
+    return _distances(spark, d, states=(A.NORMAL,)).select("service_type", "node", "distance")
 
 
 @query("SELECT service_type, node, d AS distance FROM dist WHERE state = 'disrupted'", "scored")
 def multi_source_disrupted(spark, d):
-    return _distances(spark, d).where("state = 'disrupted'").select("service_type", "node", "distance")
+    return _distances(spark, d, states=(A.DISRUPTED,)).select("service_type", "node", "distance")
 
 
 @query(

@@ -180,11 +180,57 @@ def test_trips(spark):
     assert tuple(totals.first()) == ("a", 2.0, 6.0)
 
 
-def test_paths_are_not_left_out_by_size(spark, monkeypatch):
-    edges = spark.createDataFrame([(1, 1, 2, 0, 1.0), (1, 2, 1, 0, 1.0)], "g int, u long, v long, key int, length double")
-    sources = spark.createDataFrame([(1, 1)], "g int, node long")
-    assert "path" in routing.shortest_paths(edges, sources, ["g"], with_path=True).columns
+def test_paths_at_every_size(spark, sf, monkeypatch):
+    """The frontier's paths are the local search's, ties among them."""
+    edges, services = X.edges(spark, sf), X.services(spark, sf)
+    dry = R.disrupted_edges(edges, X.hazard(spark, sf))
+    rows = lambda: sorted((r.state, r.service_type, r.to_node_id, r.route_length, r.from_node_id, r.route) for r in A.distance_rows(X.nodes(spark, sf), A.distances(edges, dry, services, with_path=True), services).collect())
+    by_one = rows()
     monkeypatch.setattr(routing, "LOCAL_EDGES", 1)
-    for strategy in ("auto", "frontier"):
-        with pytest.raises(ValueError):
-            routing.shortest_paths(edges, sources, ["g"], strategy, with_path=True)
+    monkeypatch.setattr(A, "LOCAL_EDGES", 1)
+    assert rows() == by_one and sum(r[-1] is not None for r in by_one) == 150 * 2 + 39 + 2
+    length = {}
+    for r in edges.collect():
+        for way in ((r.u, r.v), (r.v, r.u)):
+            length[way] = min(r.length, length.get(way, r.length))
+    for _, _, node, d, source, path in by_one:
+        if path:
+            assert (path[0], path[-1]) == (source, node) and sum(length[x] for x in zip(path, path[1:], strict=False)) == d
+    line = spark.createDataFrame([(0, a, a + 1, 0, 1.0) for a in range(40)] + [(0, 5, 7, 0, 2.0)], "g int, u long, v long, key int, length double")
+    start = spark.createDataFrame([(0, 0)], "g int, node long")
+    both = [sorted((r.node, r.path) for r in routing.shortest_paths(line, start, ["g"], s, with_path=True).collect()) for s in ("local", "frontier")]
+    assert both[0] == both[1] and both[0][40][1] == [0, 1, 2, 3, 4, 5, *([6, 7] if 6 in both[0][7][1] else [7]), *range(8, 41)]
+
+
+def test_searches_in_portions(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, a, b, 0, 1.0 + a) for a in range(9) for b in range(9) if abs(a - b) == 1], "g int, u long, v long, key int, length double")
+    sources = spark.createDataFrame([(0, k) for k in range(9)], "g int, node long")
+    rows = lambda: sorted(tuple(r) for r in routing.per_service_paths(edges, sources, ["g"]).collect())
+    one = rows()
+    monkeypatch.setattr(routing, "SEARCHES", 2)
+    assert rows() == one and len(one) == 81
+
+
+def test_single_source(spark, sf):
+    """Searches from each service by itself find what the common search does; those tried come in order of distance."""
+    nodes, edges, services = X.nodes(spark, sf), X.edges(spark, sf), X.services(spark, sf)
+    samples = nodes.where("osmid % 9 = 0")
+    least = {}
+    for a_star in (False, True):
+        rows = A.calculate_routes(samples, services, nodes, edges, multi_source=False, a_star=a_star, metric="planar").collect()
+        least[a_star] = {}
+        for r in rows:
+            key = (r.service_type, r.to_node_id)
+            least[a_star][key] = min(r.route_length, least[a_star].get(key, float("inf")))
+            assert r.route[0] == r.from_node_id and r.route[-1] == r.to_node_id
+    common = {(r.service_type, r.to_node_id): r.route_length for r in A.calculate_routes(samples, services, nodes, edges, metric="planar").collect()}
+    assert least[False] == common
+    assert all(least[True][k] >= v for k, v in common.items())  # this fixture's lengths are not bounded by its places
+    with pytest.raises(ValueError):
+        A.calculate_routes(samples, services, nodes, edges, a_star=True)
+    places = spark.createDataFrame([(k, 6.5 + 0.01 * k, 49.7) for k in range(6)], "osmid long, x double, y double")
+    ways = spark.createDataFrame([(k, k + 1, 0, 800.0 + k) for k in range(5)], "u long, v long, key int, length double")
+    posts = spark.createDataFrame([(11, "hospital", "hospital", 0, 6.5, 49.7), (12, "hospital", "hospital", 5, 6.55, 49.7), (13, "hospital", "hospital", 9, 6.9, 49.7)], "osm_id long, service_type string, amenity string, node_id long, x double, y double")
+    for a_star in (False, True):
+        got = A.calculate_routes(places.where("osmid in (1, 2)"), posts, places, ways, multi_source=False, a_star=a_star).collect()
+        assert sorted((r.to_node_id, r.from_osm_id, r.route_length) for r in got) == [(1, 11, 800.0), (2, 11, 1601.0)]
