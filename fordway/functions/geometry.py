@@ -234,12 +234,13 @@ def polygon_wkt(polygon: Column) -> Column:
     return F.concat(F.lit("POLYGON ("), F.array_join(rings, ", "), F.lit(")"))
 
 
-def grid_steps(width_m: float, height_m: float, samples: int | None = None, distance_m: float | None = None) -> tuple[int, int]:
-    """Rows and columns of a sampling grid, by a number of samples or by a distance; one of both is to be given."""
+def grid_steps(width_m: float, height_m: float, samples: int | None = None, distance_m: float | None = None, aspect: float | None = None) -> tuple[int, int]:
+    """Rows and columns of a sampling grid, by a number of samples or by a distance; one of both is to be given. By
+    number cells follow the box's aspect in its own coordinates (`aspect`, wide by high; of the metres without it)."""
     if (samples is None) == (distance_m is None):
         raise RuntimeError("give either a number of samples or a distance")
     if samples is not None:
-        aspect = width_m / height_m
+        aspect = width_m / height_m if aspect is None else aspect
         high = int(math.sqrt(samples / aspect))
         wide = int(high * aspect)
     else:

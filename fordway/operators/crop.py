@@ -1,16 +1,19 @@
-"""Crops: by box with whole ways, by box with cut lines, by convex polygon; buffers in metres."""
+"""Crops: by box with whole ways, by box with cut lines, by any polygon; unions; buffers in metres; projections."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from ..functions import geometry as G
+from ..functions import geometry as G, overlay as O
 
 
 def points_in_box(df: DataFrame, xmin, ymin, xmax, ymax, x: str = "x", y: str = "y") -> DataFrame:
@@ -32,45 +35,85 @@ def clip_lines(df: DataFrame, xmin, ymin, xmax, ymax, line: str = "line") -> Dat
     return df.withColumn("parts", parts).where(F.size("parts") > 0)
 
 
-def _cut(ring: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The part of a ring (without its closing point) to the left of the way from a to b."""
-    if not len(ring):
-        return ring
-    side = (b[0] - a[0]) * (ring[:, 1] - a[1]) - (b[1] - a[1]) * (ring[:, 0] - a[0])
-    out = []
-    for k in range(len(ring)):
-        j = (k + 1) % len(ring)
-        if side[k] >= 0:
-            out.append(ring[k])
-        if (side[k] > 0) != (side[j] > 0) and side[k] != side[j] and side[k] * side[j] < 0:
-            out.append(ring[k] + (ring[j] - ring[k]) * (side[k] / (side[k] - side[j])))
-    return np.array(out).reshape(-1, 2)
-
-
-def clip_rings(df: DataFrame, mask: list[tuple[float, float]], ring: str = "ring") -> DataFrame:
-    """Rings cut at a convex polygon (its corners, not closed): `ring` becomes the closed part inside, rows without
-    any go. A ring that is not convex may come out with edges along the mask's border."""
-    corners = np.array(mask, float)
-    area = sum(corners[k - 1][0] * corners[k][1] - corners[k][0] * corners[k - 1][1] for k in range(len(corners)))
-    if area < 0:
-        corners = corners[::-1]
-
-    def one(r) -> list[dict] | None:
-        if r is None or not len(r):
-            return None
-        points = np.array([(p["x"], p["y"]) for p in r], float)
-        points = points[:-1] if len(points) > 1 and (points[0] == points[-1]).all() else points
-        for k in range(len(corners)):
-            points = _cut(points, corners[k], corners[(k + 1) % len(corners)])
-        return [{"x": x, "y": y} for x, y in [*points.tolist(), points[0].tolist()]] if len(points) else None
+def _rings(polygon) -> list[np.ndarray]:
+    return [np.array([(p["x"], p["y"]) for p in r], float).reshape(-1, 2) for r in polygon if r is not None and len(r)]
+
+
+def _rows(rings: list[np.ndarray]) -> list[list[dict]]:
+    return [[{"x": x, "y": y} for x, y in r.tolist()] for r in rings]
+
+
+def as_double(polygon: str):
+    return F.transform(polygon, lambda r: F.transform(r, lambda p: G.point(p.x.cast("double"), p.y.cast("double"))))
+
+
+def _map_column(df: DataFrame, column: str, made: list[StructField], f: Callable[[list], list[tuple | None]]) -> DataFrame:
+    """df with `column` and further ones as f makes them of a batch's values (a tuple each); rows with None go.
+
+    By Arrow: a frame of pandas cannot hold rings of different lengths."""
+    new = {m.name: m for m in made}
+    kind = StructType([new.get(x.name, x) for x in df.schema] + [m for m in made if m.name not in df.columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(kind)
+        for b in batches:
+            got = f(b.column(column).to_pylist())
+            stay = pa.array([k for k, g in enumerate(got) if g is not None], pa.int64())
+            values = dict(zip(new, zip(*[g for g in got if g is not None], strict=True), strict=True)) if len(stay) else {n: [] for n in new}
+            columns = [pa.array(values[x.name], x.type) if x.name in new else b.column(x.name).take(stay).cast(x.type) for x in schema]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return df.mapInArrow(run, kind)
+
+
+def _kind(name: str, ddl: str) -> StructField:
+    return StructField(name, _parse_datatype_string(ddl))
+
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f[ring] = f[ring].map(one)
-            yield f[f[ring].notna()]
+def clip_polygons(df: DataFrame, mask: list, polygon: str = "polygon", parts: str | None = None) -> DataFrame:
+    """Polygons (arrays of rings, parts and holes among them) cut at a polygon of any shape: `mask` is its corners, or a
+    list of its rings. Rows with nothing in it go. `parts` names a column for the polygons one by one, each a shell
+    with its holes."""
+    rings = [np.array(mask, float)] if np.ndim(mask[0][0]) == 0 else [np.array(r, float) for r in mask]
+    rings = O.turned(rings)
+    low, high = np.min([r.min(axis=0) for r in rings], axis=0), np.max([r.max(axis=0) for r in rings], axis=0)
 
-    wide = df.withColumn(ring, F.transform(ring, lambda p: G.point(p.x.cast("double"), p.y.cast("double"))))
-    return wide.mapInPandas(cut, wide.schema)
+    def one(value) -> list[np.ndarray]:
+        own = _rings(value) if value is not None else []
+        own = [r for r in own if len(r) > 2]
+        if not own or (np.min([r.min(axis=0) for r in own], axis=0) > high).any() or (np.max([r.max(axis=0) for r in own], axis=0) < low).any():
+            return []
+        return O.overlay([own, rings], 2)
+
+    def cut(values: list) -> list[tuple | None]:
+        found = [one(v) for v in values]
+        return [(_rows(r), [_rows(p) for p in O.nested(r)])[: 1 + bool(parts)] if r else None for r in found]
+
+    return _map_column(df.withColumn(polygon, as_double(polygon)), polygon, [_kind(polygon, G.POLYGON), *([_kind(parts, f"array<{G.POLYGON}>")] if parts else [])], cut)
+
+
+def dissolve(df: DataFrame, by: list[str] | None = None, polygon: str = "polygon", size: float | None = None) -> DataFrame:
+    """by, polygon: the union of the polygons of each group (of all without one), as one array of rings.
+
+    Polygons are united by cells first, in as many tasks, so that only the borders of what a cell holds go on to the
+    task that makes the group's one geometry.
+    """
+    from .spatial_join import cell_size
+
+    by = by or []
+    own = df.where(F.size(polygon) > 0).select(*by, as_double(polygon).alias("polygon"))
+    size = size or 16 * cell_size(own)
+    b = G.bounds(F.flatten("polygon"))
+    celled = own.withColumns({"_cx": F.floor(b.xmin / size), "_cy": F.floor(b.ymin / size)})
+    kind = StructType([*(own.schema[c] for c in by), StructField("polygon", own.schema["polygon"].dataType)])
+
+    def united(t: pa.Table) -> pa.Table:
+        schema = to_arrow_schema(kind)
+        rings = O.overlay([_rings(v) for v in t["polygon"].to_pylist()])
+        return pa.Table.from_arrays([*(t[c].slice(0, 1).cast(schema.field(c).type) for c in by), pa.array([_rows(rings)], schema.field("polygon").type)], schema=schema)
+
+    by_cell = celled.groupBy(*by, "_cx", "_cy").applyInArrow(united, kind)
+    return by_cell.withColumn("_all", F.lit(0)).groupBy("_all", *by).applyInArrow(united, kind)
 
 
 # The WGS 84 ellipsoid and the scale of transverse Mercator zones.
@@ -138,49 +181,78 @@ def project_points(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return zoned.withColumn("_p", flat(F.col(x), F.col(y), F.col("epsg"))).withColumns({"east": F.col("_p.east"), "north": F.col("_p.north")}).drop("_p")
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """The convex hull, counter-clockwise, not closed."""
-    order = sorted(set(map(tuple, points.tolist())))
-    if len(order) < 3:
-        return np.array(order)
+def buffer_metres(df: DataFrame, metres: float, column: str = "polygon") -> DataFrame:
+    """Shapes in degrees widened by metres, in the UTM zone of their middle: `column` (a polygon as an array of rings,
+    a line or a ring as an array of places, or a place) becomes the polygon of all places within that distance.
+    Circles have 64 corners. Holes and inner bends are kept or closed as the distance has it."""
+    kind = df.schema[column].dataType.simpleString()
+    shape = "polygon" if kind.startswith("array<array") else "line" if kind.startswith("array") else "point"
 
-    def chain(run: Iterator) -> list:
-        out: list = []
-        for p in run:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out
+    def one(value) -> list | None:
+        if value is None or not len(value):
+            return None
+        rings = _rings(value if shape == "polygon" else [value] if shape == "line" else [[value]])
+        lon, lat = np.concatenate(rings).mean(axis=0) if rings else (0.0, 0.0)
+        zone, south = min(60, int((lon + 180) // 6) + 1), bool(lat < 0)
+        flat = [np.stack(to_utm(r[:, 0], r[:, 1], zone, south), axis=1) for r in rings]
+        wide = O.widened(flat, metres, filled=shape == "polygon")
+        return _rows([np.stack(from_utm(r[:, 0], r[:, 1], zone, south), axis=1) for r in wide])
+
+    return _map_column(df, column, [_kind(column, G.POLYGON)], lambda values: [(one(v),) for v in values])
+
+
+#: Codes of projections: longitude and latitude, web maps, and the UTM zones of WGS 84 and of Europe's system, which
+#: differs by less than a metre.
+DEGREES, WEB = (4326, 4258), 3857
+
+
+def _zone(epsg: int) -> tuple[int, bool] | None:
+    for first, last, south in ((32601, 32660, False), (32701, 32760, True), (25828, 25838, False)):
+        if first <= epsg <= last:
+            return epsg % 100, south
+    return None
+
+
+def project(x: np.ndarray, y: np.ndarray, source: int, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places from one system to another, by longitude and latitude."""
+    for epsg in (source, target):
+        if epsg not in (*DEGREES, WEB) and _zone(epsg) is None:
+            raise ValueError(f"no projection for EPSG:{epsg}")
+    if source == WEB:
+        x, y = np.degrees(x / A_METRES), np.degrees(2 * np.arctan(np.exp(y / A_METRES)) - math.pi / 2)
+    elif source not in DEGREES:
+        x, y = from_utm(x, y, *_zone(source))
+    if target == WEB:
+        return A_METRES * np.radians(x), A_METRES * np.log(np.tan(math.pi / 4 + np.radians(y) / 2))
+    return (x, y) if target in DEGREES else to_utm(x, y, *_zone(target))
+
+
+def to_crs(df: DataFrame, column: str, source: int, target: int) -> DataFrame:
+    """A geometry column (a place, a line, a polygon or several of them) in another system, by EPSG codes."""
+    if source == target or (source in DEGREES and target in DEGREES):
+        return df
+    project(np.zeros(0), np.zeros(0), source, target)  # unknown codes are refused here
+    kind = df.schema[column].dataType
+    depth = kind.simpleString().count("array<")
+    def places(value, level: int) -> list:
+        if value is None:
+            return []
+        return [value] if level == 0 else [p for v in value for p in places(v, level - 1)]
+
+    def rebuilt(value, level: int, found: Iterator):
+        if value is None:
+            return None
+        return next(found) if level == 0 else [rebuilt(v, level - 1, found) for v in value]
 
-    return np.array(chain(iter(order))[:-1] + chain(reversed(order))[:-1])
+    def moved(values: list) -> list[tuple]:
+        every = [p for v in values for p in places(v, depth)]
+        x, y = project(np.array([p["x"] for p in every], float), np.array([p["y"] for p in every], float), source, target)
+        found = iter([{"x": a, "y": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)])
+        return [(rebuilt(v, depth, found),) for v in values]
 
+    return _map_column(df, column, [_kind(column, "array<" * depth + G.POINT + ">" * depth)], moved)
 
-def buffer_metres(df: DataFrame, metres: float, ring: str = "ring", convex: bool = True) -> DataFrame:
-    """Rings (or lines, or single points) in degrees widened by metres, in their UTM zone.
 
-    The result is the hull of circles of 64 corners about all corners: exact for convex shapes, and around them for
-    others, which `convex=False` refuses.
-    """
-    turn = np.arange(64) * (2 * math.pi / 64)
-
-    @pandas_udf(G.LINE)
-    def widen(rings: pd.Series) -> pd.Series:
-        def one(r) -> list[dict] | None:
-            if r is None or not len(r):
-                return None
-            p = np.array([(q["x"], q["y"]) for q in r], float)
-            lon, lat = p.mean(axis=0)
-            zone, south = min(60, int((lon + 180) // 6) + 1), bool(lat < 0)
-            east, north = to_utm(p[:, 0], p[:, 1], zone, south)
-            flat = np.stack([east, north], axis=1)
-            if not convex and len(hull(flat)) < len(set(map(tuple, p.tolist()))):
-                raise ValueError("a shape that is not convex")
-            wide = hull((flat[:, None, :] + metres * np.stack([np.cos(turn), np.sin(turn)], axis=1)[None]).reshape(-1, 2))
-            x, y = from_utm(wide[:, 0], wide[:, 1], zone, south)
-            out = [{"x": a, "y": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)]
-            return [*out, out[0]]
-
-        return rings.map(one)
-
-    wide = F.transform(ring, lambda p: G.point(p.x.cast("double"), p.y.cast("double")))
-    return df.withColumn(ring, widen(wide))
+def layers_to_degrees(layers: dict[str, DataFrame], epsg: dict[str, int], column: str = "polygon") -> dict[str, DataFrame]:
+    """Layers by name, each from its own system to longitude and latitude."""
+    return {n: to_crs(df, column, epsg[n], 4326) for n, df in layers.items()}

@@ -10,17 +10,16 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..functions import geometry as G
 from .graph import lightest
+from .stored import kept
 
 #: Edges of a group that one task may hold: about a gigabyte of Python objects.
 LOCAL_EDGES = 5_000_000
@@ -129,22 +128,11 @@ def _way(node: int | None, before: dict[int, int | None]) -> list[int]:
     return way[::-1]
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """Have a folder for checkpoints: the one that is set, or one of our own if all runs on this machine."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        return
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="fordway-"))
-
-
 def _frontier(edges: DataFrame, sources: DataFrame, groups: list[str], searches: list[str], weight: str) -> DataFrame:
-    _checkpoints(edges.sparkSession)
     key = [*groups, *searches, "node"]
     none = F.lit(None).cast("long")
-    state = sources.select(*key, F.struct(F.lit(0.0).alias("distance"), F.col("node").alias("source"), none.alias("predecessor")).alias("best"), F.lit(True).alias("fresh")).checkpoint()
-    edges = edges.checkpoint()
+    state = kept(sources.select(*key, F.struct(F.lit(0.0).alias("distance"), F.col("node").alias("source"), none.alias("predecessor")).alias("best"), F.lit(True).alias("fresh")))
+    edges = kept(edges)
 
     def step(front: DataFrame) -> DataFrame:
         reached = front.withColumnRenamed("node", "u").join(edges, [*groups, "u"])
@@ -158,7 +146,7 @@ def _frontier(edges: DataFrame, sources: DataFrame, groups: list[str], searches:
             offers = front if offers is None else offers.unionByName(front)
         both = state.select(*key, "best", F.col("best").alias("old")).unionByName(offers.withColumn("old", F.lit(None).cast(state.schema["best"].dataType)))
         merged = both.groupBy(*key).agg(F.min("best").alias("best"), F.max("old").alias("old"))
-        state = merged.select(*key, "best", (F.col("old").isNull() | (F.col("best") < F.col("old"))).alias("fresh")).checkpoint()
+        state = kept(merged.select(*key, "best", (F.col("old").isNull() | (F.col("best") < F.col("old"))).alias("fresh")))
         if state.where("fresh").isEmpty():
             return state.select(*key, "best.distance", "best.source", "best.predecessor")
 
@@ -166,13 +154,12 @@ def _frontier(edges: DataFrame, sources: DataFrame, groups: list[str], searches:
 def with_paths(found: DataFrame, groups: list[str]) -> DataFrame:
     """found (groups, node, predecessor and more) with `path`, the nodes from the source on, by pointer jumping: each
     round puts before a path the one that its first node's predecessor has, so rounds grow with the logarithm of hops."""
-    _checkpoints(found.sparkSession)
-    found = found.checkpoint()
-    way = found.select(*groups, "node", F.col("predecessor").alias("up"), F.array("node").alias("path")).checkpoint()
+    found = kept(found)
+    way = kept(found.select(*groups, "node", F.col("predecessor").alias("up"), F.array("node").alias("path")))
     while not way.where("up is not null").isEmpty():
         above = way.select(*groups, F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"))
         open_ = way.where("up is not null").join(above, [*groups, "up"]).select(*groups, "node", F.col("next").alias("up"), F.concat("before", "path").alias("path"))
-        way = way.where("up is null").unionByName(open_).checkpoint()
+        way = kept(way.where("up is null").unionByName(open_))
     return found.join(way.select(*groups, "node", "path"), [*groups, "node"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
-from .spatial_join import spatial_join
+from .spatial_join import in_union
 
 
 def grid_cells(nodes: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float, rows: int, columns: int) -> DataFrame:
@@ -37,11 +37,16 @@ def draw_sample(nodes: DataFrame, polygon: DataFrame, samples: int | None = None
         high, wide = G.haversine_m(xmin, ymin, xmin, ymax), G.haversine_m(xmin, ymax, xmax, ymax)
     else:
         high, wide = ymax - ymin, xmax - xmin
-    rows, columns = G.grid_steps(wide, high, samples, distance_m)
-    within = spatial_join(nodes, polygon.select("polygon"), "semi", "within")
+    rows, columns = G.grid_steps(wide, high, samples, distance_m, (xmax - xmin) / (ymax - ymin))
+    within = in_union(nodes, polygon.select("polygon"), ["osmid"])
     return one_per_cell(grid_cells(within, xmin, ymin, xmax, ymax, rows, columns), seed)
 
 
-def in_named_districts(samples: DataFrame, districts: DataFrame) -> DataFrame:
-    """Samples inside a district that has a name."""
-    return spatial_join(samples, districts.where("name is not null").select("polygon"), "semi", "within")
+def in_named_districts(samples: DataFrame, districts: DataFrame, key: str = "osmid") -> DataFrame:
+    """Samples in the union of the districts that have a name: within one, or on a border between some of them."""
+    return in_union(samples, districts.where("name is not null").select("polygon"), [key])
+
+
+def fraction(df: DataFrame, share: float, seed: int = 42) -> DataFrame:
+    """A random share of the rows, the same for the same seed and partitions."""
+    return df.sample(fraction=share, seed=seed)

@@ -8,11 +8,17 @@ common one only, so no pass to remove duplicates is needed. Cells with many rows
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..functions import geometry as G
+from ..functions import geometry as G, overlay as O
+from .stored import kept
 
 
 def cell_size(polygons: DataFrame, polygon_col: str = "polygon") -> float:
@@ -69,6 +75,10 @@ def spatial_join(
     test = PREDICATES[kind][predicate]
     right = right.withColumn("_segs", G.polygon_segments(F.col(polygon))).withColumn("_box", G.bounds(F.flatten(polygon)))
     right = _celled(right, F.col("_box"), size)
+    if not line:
+        # a ray to the right from a point in the cell meets no other segments; of a large polygon each cell has few
+        top, bottom, side = (F.col("_cy") + 2) * size, (F.col("_cy") - 1) * size, (F.col("_cx") - 1) * size
+        right = right.withColumn("_segs", F.filter("_segs", lambda s: (F.greatest(s.y1, s.y2) >= bottom) & (F.least(s.y1, s.y2) <= top) & (F.greatest(s.x1, s.x2) >= side)))
     names = {"_cx": "_rcx", "_cy": "_rcy", "_x0": "_rx0", "_y0": "_ry0", "_box": "_rbox"}
     right = right.withColumnsRenamed(names)
     if kind == "point":
@@ -105,12 +115,58 @@ def spatial_join(
     return left.join(hit, key, f"left_{how}")
 
 
+def in_union(points: DataFrame, polygons: DataFrame, key: list[str], x: str = "x", y: str = "y", polygon: str = "polygon") -> DataFrame:
+    """Points in the interior of the polygons' union, key naming a row: those within a polygon, and those on borders
+    where the polygons that touch there leave no gap around the point."""
+    shapes = polygons.select(polygon)
+    within = spatial_join(points, shapes, "semi", "within", x, y, polygon=polygon)
+    on_border = spatial_join(points.join(within.select(*key), key, "left_anti"), shapes, "inner", "intersects", x, y, polygon=polygon)
+
+    kind = StructType([points.schema[k] for k in key])
+
+    def closed_around(t: pa.Table) -> pa.Table:
+        whole = surrounded((float(t[x][0].as_py()), float(t[y][0].as_py())), [[[(p["x"], p["y"]) for p in r] for r in v] for v in t[polygon].to_pylist()])
+        return t.select(key).slice(0, int(whole)).cast(to_arrow_schema(kind))
+
+    # by Arrow: a frame of pandas cannot hold rings of different lengths
+    found = on_border.select(*key, x, y, polygon).groupBy(*key).applyInArrow(closed_around, kind)
+    return points.join(within.select(*key).unionByName(found), key, "left_semi")
+
+
+def surrounded(point: tuple[float, float], polygons: list[list[list[tuple]]], least: float = 1e-9) -> bool:
+    """Whether polygons that have the point on their borders cover all directions around it."""
+    px, py = point
+    arcs = []
+    for rings in polygons:
+        for r in O.turned([np.array(r, float) for r in rings]):
+            r = r[:-1]
+            ways = [(r[k], r[(k + 1) % len(r)]) for k in range(len(r))]
+            for k, (a, b) in enumerate(ways):
+                angle = lambda q: math.atan2(q[1] - py, q[0] - px)
+                if (b[0], b[1]) == point:  # the interior lies to the left of both: from the way on to the way back
+                    arcs.append((angle(ways[(k + 1) % len(ways)][1]), angle(a)))
+                elif (a[0], a[1]) != point and (b[0] - a[0]) * (py - a[1]) == (b[1] - a[1]) * (px - a[0]) and min(a[0], b[0]) <= px <= max(a[0], b[0]) and min(a[1], b[1]) <= py <= max(a[1], b[1]):
+                    arcs.append((angle(b), angle(a)))
+    spans = []
+    for start, end in arcs:
+        start %= 2 * math.pi
+        end = start + ((end - start) % (2 * math.pi) or 2 * math.pi)
+        spans += [(start, end), (start - 2 * math.pi, end - 2 * math.pi)]
+    reach = 0.0
+    for start, end in sorted(spans):
+        if start > reach + least:
+            break
+        reach = max(reach, end)
+    return reach >= 2 * math.pi - least
+
+
 def nearest(points: DataFrame, nodes: DataFrame, key: str, x: str = "px", y: str = "py", node: str = "osmid", node_x: str = "x", node_y: str = "y", metric: str = "planar", size: float | None = None) -> DataFrame:
     """The nearest node of each point: points' columns, node id and `distance` (squared for planar, metres for
     haversine). Ties go to the smallest id.
 
     Candidates come from the 3 x 3 cells about a point. A find counts if it is nearer than anything outside these can
-    be; what is left goes on with cells twice as large, until the cells reach over the whole extent.
+    be; what is left goes on with cells twice as large, until the cells reach over the whole extent. What is left after
+    a round is kept by a checkpoint. Points without a place are nobody's neighbours and have no row.
     """
     extent = nodes.agg(F.min(node_x), F.max(node_x), F.min(node_y), F.max(node_y), F.count("*")).first()
     kind = "double" if metric == "haversine" else nodes.select((F.col(node_x) * F.col(node_x)).alias("d")).schema["d"].dataType.simpleString()
@@ -141,7 +197,7 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, x: str = "px", y: str
         found = here if found is None else found.unionByName(here)
         if last:
             return found
-        left = left.join(best, key, "left_anti")
+        left = kept(left.join(best, key, "left_anti"))
         size *= 2
         if size <= reach and left.isEmpty():
             return found

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import geometry as G
+from ..operators.crop import dissolve
 from ..operators.graph import undirected
 
 _GEOMETRY = "type string, coordinates string"
@@ -27,9 +28,20 @@ def csv(spark: SparkSession, path: str, schema: str | StructType, wkt: str | Non
 def geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """Features of GeoJSON files: the named properties (a DDL schema), `kind`, and the geometry as point, line or
     polygon, the others null. A multi-polygon's rings come in one polygon; multi-lines as a line for each part."""
-    nested = f"features array<struct<type: string, properties: struct<{_ddl(properties)}>, geometry: struct<type: string, coordinates: string>>>"
-    whole = spark.read.schema(nested).json(path, multiLine=True)
-    f = whole.select(F.explode("features").alias("f"))
+    nested = f"features array<{_feature(properties)}>"
+    return _shapes(spark.read.schema(nested).json(path, multiLine=True).select(F.explode("features").alias("f")))
+
+
+def geojson_lines(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """The same of files with a feature on each line, which any number of tasks read."""
+    return _shapes(spark.read.text(path).select(F.from_json("value", _feature(properties)).alias("f")).where("f.type = 'Feature'"))
+
+
+def _feature(properties: str) -> str:
+    return f"struct<type: string, properties: struct<{_ddl(properties)}>, geometry: struct<type: string, coordinates: string>>"
+
+
+def _shapes(f: DataFrame) -> DataFrame:
     kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     pair = lambda p: G.point(p[0], p[1])
     as_line = lambda s: F.transform(F.from_json(s, "array<array<double>>"), pair)
@@ -45,14 +57,21 @@ def _ddl(properties: str) -> str:
     return ", ".join(f"`{n.strip('`')}`: {t}" for n, t in (p.strip().split(None, 1) for p in properties.split(",")))
 
 
+def _records(spark: SparkSession, path: str | list[str], tag: str) -> DataFrame:
+    """value: what ends with each closing tag, so that many tasks read a large file and none holds it."""
+    end = f"</{tag}>"
+    rows = spark.read.option("lineSep", end).text(path)
+    return rows.withColumn("value", F.concat("value", F.lit(end)))
+
+
 def gml(spark: SparkSession, path: str | list[str], row_tag: str, columns: str, file: str | None = None) -> DataFrame:
     """Polygons of GML files: rows by tag, the named columns (a DDL schema, child elements as text), and `polygon`
     from all gml:posList elements below (x y pairs; the first is the shell). `file` names a column for the file's
     name."""
     names = [c.strip().split(None, 1)[0] for c in columns.split(",") if c.strip()]
     name = F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")
-    text = spark.read.text(path, wholetext=True).select(name, F.regexp_extract_all("value", F.lit(rf"(?s)<{row_tag}[\s>].*?</{row_tag}>"), F.lit(0)).alias("r"))
-    rows = text.select("file", F.explode("r").alias("r"))
+    rows = _records(spark, path, row_tag).select(name, F.col("value").alias("r")).where(F.col("r").rlike(rf"(?s)<{row_tag}[\s>].*</{row_tag}>$"))
+    rows = rows.select("file", F.regexp_extract("r", rf"(?s)<{row_tag}[\s>].*", 0).alias("r"))
     child = lambda n: F.nullif(F.regexp_extract("r", rf"(?s)<(?:\w+:)?{n}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{n}>", 1), F.lit(""))
     lists = F.regexp_extract_all("r", F.lit(r"(?s)<(?:\w+:)?posList(?:\s[^>]*)?>(.*?)</"), F.lit(1))
     numbers = lambda s: F.transform(F.split(F.trim(s), r"\s+"), lambda v: v.cast("double"))
@@ -76,22 +95,21 @@ def drive_graphs(spark: SparkSession, folder: str, slug: str, undirected_graph:
 def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """nodes (osmid, x, y) and edges (u, v, key, length, line, bridge) of a GraphML file; `.graphml` is added."""
     path = path if path.endswith(".graphml") else f"{path}.graphml"
-    text = spark.read.text(path, wholetext=True)
-    keys = F.regexp_extract_all("value", F.lit(r"<key [^>]*>"), F.lit(0))
     attr = lambda c, n: F.regexp_extract(c, rf"\b{n}=\"([^\"]*)\"", 1)
-    # the file's own ids of its attributes, by whom they are for and their name
-    ids = F.map_from_entries(F.transform(keys, lambda k: F.struct(F.concat_ws(":", attr(k, "for"), attr(k, "attr\\.name")), attr(k, "id"))))
-
-    def rows(tag: str) -> DataFrame:
-        found = F.regexp_extract_all("value", F.lit(rf"(?s)<{tag} [^>]*?(?:/>|>.*?</{tag}>)"), F.lit(0))
-        r = text.select(ids.alias("ids"), F.explode(found).alias("r"))
-        data = F.transform(F.regexp_extract_all("r", F.lit(r"(?s)<data [^>]*>[^<]*</data>"), F.lit(0)), lambda d: F.struct(attr(d, "key"), F.regexp_extract(d, r"(?s)>([^<]*)<", 1)))
-        return r.withColumn("data", F.map_from_entries(data))
-
-    value = lambda tag, n: F.try_element_at("data", F.try_element_at("ids", F.lit(f"{tag}:{n}")))
-    nodes = rows("node").select(attr("r", "id").cast("long").alias("osmid"), value("node", "x").cast("double").alias("x"), value("node", "y").cast("double").alias("y"))
-    key = F.coalesce(F.expr("try_cast(nullif(regexp_extract(r, '\\\\bid=\"([^\"]*)\"', 1), '') as int)"), F.lit(0))
-    edges = rows("edge").select(attr("r", "source").cast("long").alias("u"), attr("r", "target").cast("long").alias("v"), key.alias("key"), value("edge", "length").cast("double").alias("length"), G.line_of_wkt(value("edge", "geometry")).alias("line"), value("edge", "bridge").alias("bridge"))
+    # the file's own ids of its attributes, by whom they are for and their name: a handful
+    keys = spark.read.option("lineSep", ">").text(path).where(F.col("value").rlike(r"<key\s")).select(attr("value", "for").alias("on"), attr("value", "attr\\.name").alias("name"), attr("value", "id").alias("id"))
+    ids = {(r["on"], r["name"]): r["id"] for r in keys.collect()}
+
+    def rows(tag: str, own: str) -> DataFrame:
+        kind = f"{own}, data array<struct<_key: string, _VALUE: string>>"
+        r = spark.read.format("xml").option("rowTag", tag).schema(kind).load(path)
+        pairs = F.coalesce("data", F.expr("cast(array() as array<struct<_key: string, _VALUE: string>>)"))
+        return r.withColumn("data", F.map_from_entries(pairs))
+
+    value = lambda tag, n: F.try_element_at("data", F.lit(ids.get((tag, n), "")))
+    nodes = rows("node", "_id long").select(F.col("_id").alias("osmid"), value("node", "x").cast("double").alias("x"), value("node", "y").cast("double").alias("y"))
+    key = F.coalesce(F.expr("try_cast(_id as int)"), F.lit(0)).alias("key")
+    edges = rows("edge", "_source long, _target long, _id string").select(F.col("_source").alias("u"), F.col("_target").alias("v"), key, value("edge", "length").cast("double").alias("length"), G.line_of_wkt(value("edge", "geometry")).alias("line"), value("edge", "bridge").alias("bridge"))
     return nodes, edges
 
 
@@ -112,5 +130,10 @@ def one_region(boundaries: DataFrame, name: str) -> DataFrame:
 
 
 def hazard_polygons(features: DataFrame) -> DataFrame:
-    """A row for each polygon of a hazard layer. Being in their union is being in one of them, so none is built."""
+    """A row for each polygon of a hazard layer, as the joins take it: what meets the union meets one of them."""
     return features.where(F.col("polygon").isNotNull()).select("polygon")
+
+
+def flooded_area(features: DataFrame) -> DataFrame:
+    """A hazard layer as one polygon, the union of its polygons: one row, or none for an empty layer."""
+    return dissolve(hazard_polygons(features))

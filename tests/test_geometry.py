@@ -1,9 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fordway.functions import geometry as G, scores as S
+from fordway.functions import geometry as G, overlay as O, scores as S
 from fordway.operators import crop as C
 
 INF = float("inf")
@@ -63,6 +64,10 @@ def test_grid_steps():
     box = (G.haversine_m(6.55, 49.85, 6.775, 49.85), G.haversine_m(6.55, 49.68, 6.55, 49.85))
     assert G.grid_steps(*box, distance_m=500) == (37, 32)
     assert G.grid_steps(*box, distance_m=50) == (378, 322)
+    wide = (6.775 - 6.55) / (49.85 - 49.68)
+    assert G.grid_steps(*box, samples=100, aspect=wide) == (8, 10) and G.grid_steps(*box, samples=1000, aspect=wide) == (27, 35)
+    with pytest.raises(ValueError):
+        G.grid_steps(*box, samples=1, aspect=wide)
     with pytest.raises(RuntimeError):
         G.grid_steps(*box)
     with pytest.raises(RuntimeError):
@@ -107,32 +112,99 @@ def test_score_looks(spark):
     assert tuple(got) == (1, 2, 3, 4, 4, 5, "rgb(255.0,51.0,0)", "rgb(0.0,255.0,0)", 0.75)
 
 
-def test_convex_clip(spark):
-    df = spark.createDataFrame([("a", [(-1.0, -1.0), (2.0, -1.0), (2.0, 2.0), (-1.0, 2.0), (-1.0, -1.0)]), ("b", [(9.0, 9.0), (10.0, 9.0), (9.0, 10.0), (9.0, 9.0)])], f"k string, ring {G.LINE}")
-    got = C.clip_rings(df, [(0, 0), (0, 4), (4, 4), (4, 0)]).collect()
-    assert [r.k for r in got] == ["a"]
-    assert {(p.x, p.y) for p in got[0].ring} == {(0, 0), (2, 0), (2, 2), (0, 2)}
+def square(x, y, w, h=None):
+    h = h or w
+    return [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+
+
+def ring_area(rings):
+    return sum(O.area(np.array([(p.x, p.y) for p in r])) for r in rings)
+
+
+L_SHAPE = [(0.0, 0.0), (6.0, 0.0), (6.0, 2.0), (2.0, 2.0), (2.0, 6.0), (0.0, 6.0), (0.0, 0.0)]
+
+
+def test_clip_polygons(spark):
+    """Holes and parts are kept, masks may be bent: areas as by hand."""
+    shapes = [("hole", [square(0.0, 0.0, 8.0), square(1.0, 1.0, 2.0)]), ("parts", [square(0.5, 0.5, 1.0), square(4.0, 0.5, 1.0), square(20.0, 20.0, 1.0)]), ("far", [square(50.0, 50.0, 1.0)]), ("bent", [L_SHAPE[::-1]]), ("none", None), ("empty", [])]
+    df = spark.createDataFrame(shapes, f"k string, polygon {G.POLYGON}")
+    got = {r.k: r for r in C.clip_polygons(df, [(0, 0), (0, 4), (4, 4), (4, 0)], parts="parts").collect()}
+    assert set(got) == {"hole", "parts", "bent"}
+    assert {k: ring_area(r.polygon) for k, r in got.items()} == {"hole": 12.0, "parts": 1.0, "bent": 12.0}
+    assert len(got["hole"].parts) == 1 and len(got["hole"].parts[0]) == 2
+    bent = {r.k: r for r in C.clip_polygons(df, L_SHAPE, parts="parts").collect()}
+    assert {k: ring_area(r.polygon) for k, r in bent.items()} == {"hole": 17.0, "parts": 2.0, "bent": 20.0}
+    assert len(bent["parts"].parts) == 2 and len(bent["hole"].polygon) == 1
+    holed = {r.k: ring_area(r.polygon) for r in C.clip_polygons(df, [square(0, 0, 10), square(1, 1, 4)]).collect()}
+    assert holed == {"hole": 48.0, "parts": 0.75 + 0.5, "bent": 20.0 - 4 - 3}
+
+
+def test_dissolve(spark):
+    shapes = [("a", [square(0, 0, 4)]), ("a", [square(4, 0, 4)]), ("a", [square(2, 2, 4)]), ("b", [square(0, 0, 9), square(3, 3, 3)]), ("b", [square(3, 3, 3)]), ("b", None)]
+    df = spark.createDataFrame([(k, [[tuple(map(float, p)) for p in r] for r in v] if v else None) for k, v in shapes], f"k string, polygon {G.POLYGON}")
+    got = {r.k: r.polygon for r in C.dissolve(df, ["k"], size=3.0).collect()}
+    assert {k: ring_area(v) for k, v in got.items()} == {"a": 40.0, "b": 81.0} and [len(v) for v in got.values()] == [1, 1]
+    whole = C.dissolve(df).collect()
+    assert len(whole) == 1 and ring_area(whole[0].polygon) == 81.0 and C.dissolve(df.limit(0), size=1.0).count() == 0
+
+
+def test_overlay_by_places():
+    """What rings hold against counts of places in star-shaped polygons."""
+    rng = np.random.default_rng(1)
+    for turn in range(30):
+        stars = []
+        while len(stars) < 2 + turn % 3:
+            angles = np.sort(rng.random(8) * 2 * math.pi)
+            if np.diff(np.concatenate((angles, angles[:1] + 2 * math.pi))).max() < 2.5:
+                stars.append([rng.integers(0, 8, 2) + rng.integers(2, 6, 8)[:, None] * np.stack([np.cos(angles), np.sin(angles)], axis=1)])
+        places = rng.random((2000, 2)) * 20 - 5
+        held = sum(O.holds(O.closed(p[0]), places).astype(int) for p in stars)
+        for least in range(1, len(stars) + 1):
+            rings = O.overlay(stars, least)
+            inside = sum((O.holds(r, places).astype(int) for r in rings), np.zeros(len(places), int)) % 2
+            assert (inside == (held >= least)).mean() > 0.999
+
+
+def test_buffers():
+    corner = 32 * math.sin(2 * math.pi / 64)
+    bent = O.widened([np.array(L_SHAPE)], 0.5)
+    assert len(bent) == 1 and O.area(bent[0]) == pytest.approx(20 + 24 * 0.5 + 1.25 * corner * 0.25 - 0.25)
+    frame = O.widened([np.array(square(0, 0, 10)), np.array(square(4, 4, 2))], 0.5)
+    assert len(frame) == 2 and sum(map(O.area, frame)) == pytest.approx(121 - (1 - corner / 4) - 1)
+    assert len(O.widened([np.array(square(0, 0, 10)), np.array(square(4, 4, 2))], 2.0)) == 1
+    line = O.widened([np.array([(0.0, 0.0), (10.0, 0.0)])], 1.0, filled=False)
+    assert sum(map(O.area, line)) == pytest.approx(20 + corner)
+
+
+def test_to_crs(spark):
+    df = spark.createDataFrame([(1, (6.65, 49.75)), (2, None)], f"k int, p {G.POINT}")
+    for epsg, east in ((32632, 330_648), (25832, 330_648), (3857, 740_274.6)):
+        there = C.to_crs(df, "p", 4326, epsg)
+        assert there.where("k = 1").first().p.x == pytest.approx(east, rel=1e-3)
+        back = {r.k: r.p for r in C.to_crs(there, "p", epsg, 4326).collect()}
+        assert tuple(back[1]) == pytest.approx((6.65, 49.75), abs=1e-8) and back[2] is None
+    rings = spark.createDataFrame([([[(500_000.0, 0.0), (500_100.0, 0.0), (500_000.0, 100.0), (500_000.0, 0.0)], []],)], f"polygon {G.POLYGON}")
+    got = C.layers_to_degrees({"a": rings}, {"a": 32632})["a"].first().polygon
+    assert len(got) == 2 and tuple(got[0][0]) == pytest.approx((9.0, 0.0), abs=1e-9) and got[1] == []
+    with pytest.raises(ValueError):
+        C.to_crs(df, "p", 4326, 2154)
 
 
 def test_utm_and_buffer(spark):
-    import numpy as np
-
     east, north = C.to_utm(np.array([6.65]), np.array([49.75]), 32)
     lon, lat = C.from_utm(east, north, 32)
     assert (lon[0], lat[0]) == pytest.approx((6.65, 49.75), abs=1e-9)
     assert C.to_utm(np.array([9.0]), np.array([0.0]), 32)[0][0] == pytest.approx(500_000)
     df = spark.createDataFrame([(1, [(6.65, 49.75)])], f"k int, ring {G.LINE}")
-    ring = C.buffer_metres(df, 100.0).first().ring
+    ring = C.buffer_metres(df, 100.0, "ring").first().ring[0]
     far = [G.haversine_m(6.65, 49.75, p.x, p.y) for p in ring]
     assert len(ring) == 65 and min(far) > 99 and max(far) < 101
     south = spark.createDataFrame([(1, [(20.0, -30.0), (20.01, -30.0), (20.01, -30.01), (20.0, -30.0)])], f"k int, ring {G.LINE}")
-    assert min(p.y for p in C.buffer_metres(south, 50.0).first().ring) == pytest.approx(-30.01 - 50 / 110850, abs=2e-5)
+    assert min(p.y for p in C.buffer_metres(south, 50.0, "ring").first().ring[0]) == pytest.approx(-30.01 - 50 / 110850, abs=2e-5)
     assert math.isfinite(far[0])
 
 
 def test_project_points(spark):
-    import numpy as np
-
     df = spark.createDataFrame([(6.65, 49.75), (9.0, 0.0), (20.0, -30.0)], "x double, y double")
     got = C.project_points(df).orderBy("x").collect()
     assert [r.epsg for r in got] == [32632, 32632, 32734]

@@ -118,6 +118,22 @@ def test_sampling(spark, sf):
     assert cells.select("row", "column").distinct().count() == sampling.one_per_cell(cells).count()
 
 
+def test_borders_between_districts(spark):
+    """A place on a border is in the union if no gap is left around it."""
+    boxes = polygon(spark, (0, 0, 4, 4), (4, 0, 8, 4), (0, 4, 4, 8), (20, 0, 24, 4), (24, 2, 28, 6), (40, 0, 44, 4), (44, 4, 48, 8)).withColumn("name", F.lit("d"))
+    bent = spark.createDataFrame([(9, [[(60.0, 0.0), (66.0, 0.0), (66.0, 2.0), (62.0, 2.0), (62.0, 6.0), (60.0, 6.0), (60.0, 0.0)]], "l"), (10, [[(62.0, 2.0), (66.0, 2.0), (66.0, 6.0), (62.0, 6.0), (62.0, 2.0)]], "r"), (11, [[(80.0, 0.0), (89.0, 0.0), (89.0, 9.0), (80.0, 9.0), (80.0, 0.0)], [(83.0, 3.0), (86.0, 3.0), (86.0, 6.0), (84.0, 6.5), (83.0, 6.0), (83.0, 3.0)]], "h"), (12, [[(83.0, 3.0), (86.0, 3.0), (86.0, 6.0), (84.0, 6.5), (83.0, 6.0), (83.0, 3.0)]], "fill")], f"k int, polygon {G.POLYGON}, name string")
+    spots = [(4, 2, True), (4, 0, False), (4, 4, False), (2, 4, True), (1, 1, True), (8, 1, False), (24, 3, True), (24, 2, False), (24, 1, False), (24, 4, False), (44, 4, False), (62, 2, True), (64, 2, True), (66, 2, False), (60, 3, False), (83, 3, True), (84, 3, True), (83, 5, True), (89, 5, False), (99, 99, False), (None, 1, False)]
+    points = spark.createDataFrame([(k, None if x is None else float(x), float(y)) for k, (x, y, _) in enumerate(spots)], "osmid long, x double, y double")
+    whole = sampling.in_named_districts(points, boxes.unionByName(bent).unionByName(boxes.limit(1).withColumn("name", F.lit(None).cast("string"))))
+    assert {r.osmid for r in whole.collect()} == {k for k, (_, _, inside) in enumerate(spots) if inside}
+
+
+def test_sample_fraction(spark):
+    df = spark.range(2000)
+    half = [r.id for r in sampling.fraction(df, 0.5, 7).collect()]
+    assert half == [r.id for r in sampling.fraction(df, 0.5, 7).collect()] and 850 < len(half) < 1150
+
+
 def test_districts_and_summaries(spark):
     d = polygon(spark, (0, 0, 10, 10), (2, 2, 6, 6)).withColumn("name", F.concat(F.lit("d"), "k"))
     s = spark.createDataFrame([("hospital", 1, 3.0, 3.0, 10.0, 20.0, 0.5), ("hospital", 2, 9.0, 9.0, 10.0, float("inf"), 0.0), ("hospital", 3, 99.0, 9.0, 1.0, 1.0, 1.0)], "service_type string, osmid long, x double, y double, route_length_normal double, route_length_disrupted double, score double")

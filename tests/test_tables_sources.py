@@ -1,10 +1,11 @@
 import json
 import warnings
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fordway.functions import geometry as G
+from fordway.functions import geometry as G, overlay as O
 from fordway.operators import exposure as E, tables as T
 from fordway.sources import readers, regions, tags, writers
 from fordway.streaming import exposure as live
@@ -79,9 +80,20 @@ def test_geojson_round_trip(spark, tmp_path):
     writers.geojson(points.limit(0), str(tmp_path / "out"), "p", "Point")  # exists: left alone
     text = spark.read.text(str(tmp_path / "out")).first().value
     assert json.loads(text) == {"type": "Feature", "properties": {"name": "a"}, "geometry": {"type": "Point", "coordinates": [1.0, 2.0]}}
-    rings = spark.createDataFrame([("a", square)], f"name string, ring {G.LINE}")
-    assert writers.cropped(rings, [(0, 0), (9, 0), (9, 9), (0, 9)], str(tmp_path / "c.geojson"))
+    box = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+    rings = spark.createDataFrame([("a <&>", [square]), ("two", [box(1.0, 1.0, 2.0), box(6.0, 6.0, 2.0)]), ("hole", [box(0.0, 0.0, 8.0), box(2.0, 2.0, 1.0)])], f"name string, polygon {G.POLYGON}")
+    for ending in ("geojson", "gml", "shp"):
+        assert writers.cropped(rings, [(0, 0), (9, 0), (9, 7), (0, 7)], str(tmp_path / f"c.{ending}"))
     assert not writers.cropped(rings, [(0, 0), (9, 0), (9, 9)], str(tmp_path / "c.txt"))
+    read = {r.name: r for r in readers.geojson_lines(spark, str(tmp_path / "c.geojson"), "name string").collect()}
+    assert {k: r.kind for k, r in read.items()} == {"a <&>": "Polygon", "two": "MultiPolygon", "hole": "Polygon"}
+    again = {r.name: r for r in readers.gml(spark, str(tmp_path / "c.gml"), "feature", "name string").collect()}
+    size = lambda r: sum(O.area(np.array([(p.x, p.y) for p in x])) for x in r.polygon)
+    assert {k: size(r) for k, r in read.items()} == {"a <&>": 0.5, "two": 6.0, "hole": 55.0} == {k.replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&"): size(r) for k, r in again.items()}
+    writers.boundary_json(rings, str(tmp_path / "b"))
+    assert json.loads(spark.read.text(str(tmp_path / "b")).first().value)["type"] == "Polygon"
+    area = readers.flooded_area(spark.createDataFrame([([box(0.0, 0.0, 4.0)],), ([box(2.0, 0.0, 4.0)],), (None,)], f"polygon {G.POLYGON}")).collect()
+    assert len(area) == 1 and size(area[0]) == 24.0
 
 
 def test_gml_graphml_csv(spark, tmp_path):
@@ -98,6 +110,12 @@ def test_gml_graphml_csv(spark, tmp_path):
     assert sorted((r.osmid, r.x, r.y) for r in nodes.collect())[0] == (1, 6.5, 49.7)
     e = edges.first()
     assert (e.u, e.v, e.key, e.length, e.bridge, len(e.line)) == (1, 2, 0, 12.5, "yes", 2)
+    more = edges.unionByName(spark.createDataFrame([(2, 3, 1, 7.0, None, None), (3, 1, 0, None, [(1.0, 2.0), (3.5, 4.0)], "a<b & \"c\"")], edges.schema))
+    places = spark.createDataFrame([(1, 6.5, 49.7), (2, None, None), (3, -1.0, 2.5)], "osmid long, x double, y double")
+    writers.graphml(places, more, str(tmp_path / "h.graphml"))
+    again = readers.graphml(spark, str(tmp_path / "h"))
+    assert sorted(map(tuple, again[0].collect())) == sorted(map(tuple, places.collect()))
+    assert sorted(map(tuple, again[1].collect())) == sorted(map(tuple, more.collect()))
     writers.graph(nodes, edges, str(tmp_path), "r_drive")
     writers.graph(nodes, edges, str(tmp_path), "r_all_private")
     both = readers.drive_graphs(spark, str(tmp_path), "r", undirected_graph=True)
