@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fordway.functions import geometry as G
 from fordway.operators.graph import travel_times
-from fordway.sources import geopackage, osm, tags
+from fordway.sources import geopackage, osm, pbf, tags
 
 OSM = """<?xml version="1.0"?><osm version="0.6">
 <node id="1" lat="50.0" lon="6.0"/><node id="2" lat="50.0" lon="6.01"/><node id="3" lat="50.0" lon="6.02"><tag k="amenity" v="hospital"/><tag k="name" v="H"/></node>
@@ -37,6 +37,43 @@ def test_street_network(spark, osm_file):
     assert {r.speed_kph for r in times.collect()} == {50.0}
 
 
+def test_binary_file(spark, osm_file, tmp_path):
+    """What the XML file holds comes back from the binary one, and the other way round."""
+    n, w = osm.nodes(spark, osm_file), osm.ways(spark, osm_file)
+    far = spark.createDataFrame([(9_000_000_000, -179.9999999, -89.5, {"name": "Ä <&> \"x\""})], n.schema)
+    n = n.unionByName(far)
+    pbf.write(n, w, f"file://{tmp_path}/a.osm.pbf", rows=2)
+    read = lambda path: (sorted((r.osmid, r.x, r.y, tuple(sorted(r.tags.items()))) for r in osm.nodes(spark, path).collect()), sorted((r.way, r.refs, tuple(sorted(r.tags.items()))) for r in osm.ways(spark, path).collect()))
+    want = sorted((r.osmid, r.x, r.y, tuple(sorted(r.tags.items()))) for r in n.collect()), sorted((r.way, r.refs, tuple(sorted(r.tags.items()))) for r in w.collect())
+    assert read(str(tmp_path / "a.osm.pbf")) == want
+    osm.write_xml(n, w, str(tmp_path / "b.osm"))
+    assert read(str(tmp_path / "b.osm")) == want
+    edges = osm.street_network(osm.nodes(spark, str(tmp_path / "a.osm.pbf")), osm.ways(spark, str(tmp_path / "a.osm.pbf")))[1]
+    assert {(r.u, r.v) for r in edges.collect()} == {(1, 2), (2, 3), (2, 5)}
+    osm.buildings_to_xml(spark, str(tmp_path / "a.osm.pbf"), str(tmp_path / "c.osm"))
+    assert [x[0] for x in read(str(tmp_path / "c.osm"))[0]] == [1, 2, 4] and [x[0] for x in read(str(tmp_path / "c.osm"))[1]] == [13]
+    area = spark.range(1).select(G.rectangle(*map(F.lit, (6.015, 49.0, 7.0, 50.005))).alias("polygon"))
+    cut = osm.in_polygon(n, w, area)
+    assert {r.osmid for r in cut[0].collect()} == {1, 2, 3} and [r.way for r in cut[1].collect()] == [10]
+
+
+def test_binary_format():
+    """A block put together by hand: granularity, offsets, single nodes, unpacked blobs, numbers of all lengths."""
+    data = memoryview(b"".join(pbf._varint(v) for v in (0, 1, 127, 128, 300, 2**35, 2**62)))
+    assert pbf.numbers(data).tolist() == [0, 1, 127, 128, 300, 2**35, 2**62] and pbf.numbers(memoryview(b"")).tolist() == []
+    assert pbf.numbers(memoryview(b"\x00\x01\x02\x03\xff\xff\x03"), True).tolist() == [0, -1, 1, -2, -32768]
+    node = b"\x08\x06" + b"\x12\x01\x01" + b"\x1a\x01\x02" + b"\x40\x14" + b"\x48\x09"  # id 3, 1: 2, lat 10, lon -5
+    table = b"\x0a\x09" + b"\x0a\x00" + b"\x0a\x01k" + b"\x0a\x02vv"
+    body = table + b"\x12" + bytes([len(node) + 2]) + b"\x0a" + bytes([len(node)]) + node + b"\x88\x01\xe8\x07" + b"\x98\x01\x80\x94\xeb\xdc\x03"
+    assert list(pbf.objects(body)) == [("node", 3, -5e-6, 1.00001, None, [("k", "vv")])]
+    assert pbf.unpacked(b"\x0a\x02ab") == b"ab" and list(pbf.blobs(pbf.header()))[0][0] == "OSMHeader"
+    pbf.check_header(pbf.unpacked(list(pbf.blobs(pbf.header()))[0][1]))
+    with pytest.raises(ValueError):
+        pbf.check_header(b"\x22\x05Other")
+    with pytest.raises(ValueError):
+        pbf.unpacked(b"\x22\x02ab")
+
+
 def test_features(spark, osm_file):
     found = osm.features(spark, osm_file, ["amenity", "name", "building"])
     assert found.count() == 2
