@@ -87,14 +87,15 @@ def semi_join_isin(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query(
-    """SELECT 'customer' AS side, id FROM (SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders)
-    UNION ALL SELECT 'order', id FROM (SELECT o_custkey AS id FROM orders EXCEPT SELECT c_custkey FROM customer)"""
-)
+_URGENT, _HIGH = (f"(SELECT o_custkey AS id FROM orders WHERE o_orderpriority = '{p}')" for p in ("1-URGENT", "2-HIGH"))
+
+
+@query(f"SELECT 'urgent' AS side, id FROM (SELECT id FROM {_URGENT} EXCEPT SELECT id FROM {_HIGH}) UNION ALL SELECT 'high', id FROM (SELECT id FROM {_HIGH} EXCEPT SELECT id FROM {_URGENT})")
 def anti_join_both(spark, d):
-    c, o = table(spark, d, "customer").select(F.col("c_custkey").alias("id")), table(spark, d, "orders").select(F.col("o_custkey").alias("id"))
+    of = lambda p: table(spark, d, "orders").where(F.col("o_orderpriority") == p).select(F.col("o_custkey").alias("id"))
+    urgent, high = of("1-URGENT"), of("2-HIGH")
     only = lambda a, b, side: a.join(b, "id", "left_anti").distinct().select(F.lit(side).alias("side"), "id")
-    return only(c, o, "customer").unionByName(only(o, c, "order"))
+    return only(urgent, high, "urgent").unionByName(only(high, urgent, "high"))
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 5")

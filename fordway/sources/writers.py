@@ -93,6 +93,14 @@ def geojson(df: DataFrame, path: str, geometry: str, kind: str, overwrite: bool
     features(df, geometry, kind).write.mode(_mode(overwrite)).text(path)
 
 
+def geojson_collection(df: DataFrame, path: str, geometry: str, kind: str, order: str, overwrite: bool = False) -> None:
+    """One GeoJSON file with all features, in a folder; `order` is a column of whole numbers that no two rows share."""
+    first = df.agg(F.min(order)).first()[0]
+    rows = features(df.withColumn("_order", F.col(order)), geometry, kind, "_order")
+    rows = rows.select(F.col("_order").alias("order"), F.concat(F.when(F.col("_order") == first, F.lit("")).otherwise(F.lit(",")), F.col("value")).alias("value"))
+    one_file(rows, path, ['{"type":"FeatureCollection","features":['], ["]}"], overwrite)
+
+
 def scores_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """CSV files by service type, points as WKT and routes as text."""
     flat = df
