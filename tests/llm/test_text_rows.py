@@ -285,6 +285,38 @@ def test_spans_map_back(parts, gap):
         assert 0 <= s.start < s.end <= len(text) and not any(b.kind == s.kind and b.start < s.end and s.start < b.end for b in base)
 
 
+NAME = "(?:" + "|".join(sorted(pii.DIGIT_OF, key=len, reverse=True)) + ")"
+AT, DOT, NAMED = "(?:at|arroba|chez|ät)", "(?:dot|punto|punkt|point)", r"[A-Za-z0-9_%+-]+"
+ENDED = f"(?:{DOT} (?:{'|'.join(pii.ENDINGS)})|(?:dot|punkt) de|(?:dot|punto) (?:es|it))"
+BY_PATTERNS = [
+    (rf"\s?[\[({{<]\s?(?:({AT}|@)|({DOT}|\.))\s?[\])}}>]\s?", lambda m: "@" if m[1] else "."),
+    (rf"(?<!\w){NAME}(?:(?:[ ,-]{{1,2}}|\.| {DOT} ){NAME})+(?!\w)", lambda m: "".join("." if "." in x or DOT_NAME.fullmatch(x.strip()) else pii.DIGIT_OF.get(x.lower(), "") for x in re.split(rf"({NAME}(?!\w))", m[0], flags=re.I))),
+    (r"(?<!\w)(?:plus|más)[ -](?=[0-9])", lambda m: "+"),
+    (rf"(?<=[0-9]) {DOT} (?=[0-9])", lambda m: "."),
+    (rf"(?<![\w.%+-]){NAMED}(?:(?:\.| {DOT} ){NAMED}){{0,4}}(?: {AT} |@)[A-Za-z0-9-]+(?: {DOT} [A-Za-z0-9-]+){{0,3}} {ENDED}(?![\w-])", lambda m: re.sub(f" {DOT} ", ".", re.sub(f" {AT} ", "@", m[0], flags=re.I), flags=re.I)),
+    (rf"(?<![\w.%+-])(?=[A-Za-z0-9._%+-]*[0-9._])(?=[0-9._%+-]*[A-Za-z])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*( {AT} )[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{'|'.join(pii.ENDINGS)}|[A-Za-z]{{2}})(?![\w-])", lambda m: m[0].replace(m[1], "@", 1)),
+]
+DOT_NAME = re.compile(DOT, re.I)
+PARTS = [*"one two dREI oh Dot punkt punto point at AT chez plus más com de es it org x ab.cd j.doe a_1 9 10 7x".split(), "[at]", "( dot )", "<.>", "{@", "[", ")", "@", ".", ",", "-", "%", "+", " ", "  ", "\n", "é", "at dot"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=16), st.sampled_from(["", " ", " "]))
+def test_transducers_by_patterns(parts, gap):
+    """Each transducer against a regular expression for the same rewriting."""
+    machines = [pii.BRACKETS, pii.SPELLED, pii.PLUS, pii.NUMBER_DOTS, pii.ADDRESSES, pii.AT_DOMAINS]
+    text = gap.join(parts)
+    for machine, (pattern, new) in zip(machines, BY_PATTERNS, strict=True):
+        tape = pii.Tape(text)
+        tape.rewrite(machine.edits(text))
+        want = re.sub(pattern, new, text, flags=re.I)
+        assert tape.text == want
+        text = want
+
+
+test_transducers_by_patterns = pytest.mark.filterwarnings("ignore")(test_transducers_by_patterns)
+
+
 LEET = dict(zip("0123456789", "zero one two three four five six seven eight nine".split(), strict=True))
 
 
