@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import geometry as G
 from ..operators import accessibility as A, crop as C, routing, sampling, tables as T
 from ..operators.stored import shared_folder
-from ..sources import geopackage, osm, pbf, readers, regions, tags, writers
+from ..sources import geopackage, osm, pbf, readers, regions, shapefile, tags, writers
 from .fixtures import districts, edges, hazard, nodes, population, rows_and_count, services, table
 from .registry import TYPES, _distances, _scored, query
 
@@ -119,6 +119,13 @@ def geopackage_layers(spark, d):
     return boxes[0].unionByName(boxes[1])
 
 
+@query("SELECT did, name, dx0::DOUBLE AS xmin, dy0::DOUBLE AS ymin, dx1::DOUBLE AS xmax, dy1::DOUBLE AS ymax FROM districts", "districts")
+def shapefile_districts(spark, d):
+    path = place(spark, "districts.shp")
+    shapefile.write(districts(spark, d).select("did", "name", "polygon"), path)
+    return _box(shapefile.polygons(shapefile.read(spark, path, "did long, name string")), "did", "name")
+
+
 # Graphs
 
 

@@ -59,6 +59,11 @@ def with_subfolder(path: str, folder: str) -> str:
     return str(p.parent / folder / p.name)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def list_files(spark: SparkSession, folder: str, ending: str = "", slug: str = "", relative: bool = False) -> list[str]:
     """Files of a folder by ending and a part of the name, in order, in any store that Spark reads."""
     jvm = spark.sparkContext._jvm

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G
 from ..operators.crop import clip_polygons
-from . import readers, regions
+from . import readers, regions, shapefile
 
 
 def _mode(overwrite: bool) -> str:
@@ -119,11 +119,14 @@ def boundary_json(df: DataFrame, path: str, polygon: str = "polygon", overwrite:
 
 
 def cropped(df: DataFrame, mask: list, path: str, overwrite: bool = False, polygon: str = "polygon", row_tag: str = "feature") -> bool:
-    """Polygons cut at a mask of any shape, all rings and parts, by the path's ending as GML or (.geojson, .shp) as
-    GeoJSON; False for an unknown ending, which is skipped."""
+    """Polygons cut at a mask of any shape, all rings and parts, by the path's ending as GeoJSON, GML or a shapefile;
+    False for an unknown ending, which is skipped."""
     if not path.endswith((".geojson", ".gml", ".shp")):
         return False
-    if path.endswith(".gml"):
+    if path.endswith(".shp"):
+        if overwrite or not regions.exists(df.sparkSession, path):
+            shapefile.write(clip_polygons(df, mask, polygon), path, polygon)
+    elif path.endswith(".gml"):
         gml(clip_polygons(df, mask, polygon), path, row_tag, polygon, overwrite)
     else:
         geojson(clip_polygons(df, mask, polygon, "_parts").drop(polygon), path, "_parts", "MultiPolygon", overwrite)

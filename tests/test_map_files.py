@@ -3,12 +3,13 @@
 import sqlite3
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fordway.functions import geometry as G
+from fordway.functions import geometry as G, overlay as O
 from fordway.operators.graph import travel_times
-from fordway.sources import geopackage, osm, pbf, tags
+from fordway.sources import geopackage, osm, pbf, shapefile, tags
 
 OSM = """<?xml version="1.0"?><osm version="0.6">
 <node id="1" lat="50.0" lon="6.0"/><node id="2" lat="50.0" lon="6.01"/><node id="3" lat="50.0" lon="6.02"><tag k="amenity" v="hospital"/><tag k="name" v="H"/></node>
@@ -121,6 +122,28 @@ def test_geopackage(spark, tmp_path):
         geopackage.layer(spark, path, "b", "fid long").collect()
 
 
+def test_shapefile(spark, tmp_path):
+    box = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+    rows = [(1, "Übung", [box(0.0, 0.0, 9.0), box(2.0, 2.0, 3.0)]), (2, None, [box(20.0, 0.0, 1.0), box(30.0, 0.0, 2.0)]), (3, "none", None)]
+    df = spark.createDataFrame(rows, f"fid long, name_of_the_place string, polygon {G.POLYGON}")
+    path = f"file://{tmp_path}/a.shp"
+    shapefile.write(df, path)
+    got = {r.fid: r for r in shapefile.read(spark, path, "fid long, name_of_th string").collect()}
+    assert {k: (r.name_of_th, r.kind) for k, r in got.items()} == {1: ("Übung", "Polygon"), 2: (None, "Polygon"), 3: ("none", None)}
+    size = lambda rings: sum(O.area(r) for r in O.turned([np.array([(p.x, p.y) for p in x]) for x in rings]))
+    assert (size(got[1].parts), size(got[2].parts)) == (72.0, 5.0) and shapefile.polygons(shapefile.read(spark, path, "fid long")).count() == 2
+    raw = (tmp_path / "a.shp").read_bytes()
+    assert struct.unpack_from(">i", raw, 24)[0] * 2 == len(raw) and struct.unpack_from("<4d", raw, 36) == (0.0, 0.0, 32.0, 9.0)
+    first = np.frombuffer(raw, "<f8", 10, 100 + 8 + 36 + 8 + 8).reshape(-1, 2)
+    assert O.area(first) == -81.0  # shells run clockwise in the file
+    place, line = struct.pack("<idd", 11, 1.5, 2.5) + bytes(16), struct.pack("<i4dii2i", 3, 0, 0, 1, 1, 2, 4, 0, 2) + struct.pack("<8d", 0, 0, 1, 1, 5, 5, 6, 6)
+    body = b"".join(struct.pack(">ii", k, len(x) // 2) + x for k, x in enumerate((place, line)))
+    found = list(shapefile.shapes(raw[:100] + body))
+    assert found[0] == ("Point", [[{"x": 1.5, "y": 2.5}]]) and [len(p) for p in found[1][1]] == [2, 2]
+    with pytest.raises(ValueError):
+        list(shapefile.shapes(bytes(200)))
+
+
 def test_crop_folder(spark, tmp_path):
     from fordway.sources import regions, writers
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fordway.functions import geometry as G, overlay as O
 from fordway.operators import exposure as E, tables as T
-from fordway.sources import readers, regions, tags, writers
+from fordway.sources import readers, regions, shapefile, tags, writers
 from fordway.streaming import exposure as live
 
 
@@ -83,12 +83,14 @@ def test_geojson_round_trip(spark, tmp_path):
     box = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
     rings = spark.createDataFrame([("a <&>", [square]), ("two", [box(1.0, 1.0, 2.0), box(6.0, 6.0, 2.0)]), ("hole", [box(0.0, 0.0, 8.0), box(2.0, 2.0, 1.0)])], f"name string, polygon {G.POLYGON}")
     for ending in ("geojson", "gml", "shp"):
-        assert writers.cropped(rings, [(0, 0), (9, 0), (9, 7), (0, 7)], str(tmp_path / f"c.{ending}"))
+        assert writers.cropped(rings, [(0, 0), (9, 0), (9, 7), (0, 7)], f"file://{tmp_path}/c.{ending}")
+    drawn = {r.name: r for r in shapefile.polygons(shapefile.read(spark, f"file://{tmp_path}/c.shp", "name string")).collect()}
     assert not writers.cropped(rings, [(0, 0), (9, 0), (9, 9)], str(tmp_path / "c.txt"))
     read = {r.name: r for r in readers.geojson_lines(spark, str(tmp_path / "c.geojson"), "name string").collect()}
     assert {k: r.kind for k, r in read.items()} == {"a <&>": "Polygon", "two": "MultiPolygon", "hole": "Polygon"}
     again = {r.name: r for r in readers.gml(spark, str(tmp_path / "c.gml"), "feature", "name string").collect()}
     size = lambda r: sum(O.area(np.array([(p.x, p.y) for p in x])) for x in r.polygon)
+    assert {k: -size(r) for k, r in drawn.items()} == {k: size(r) for k, r in read.items()}
     assert {k: size(r) for k, r in read.items()} == {"a <&>": 0.5, "two": 6.0, "hole": 55.0} == {k.replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&"): size(r) for k, r in again.items()}
     writers.boundary_json(rings, str(tmp_path / "b"))
     assert json.loads(spark.read.text(str(tmp_path / "b")).first().value)["type"] == "Polygon"
