@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import os
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
@@ -31,6 +33,24 @@ class Config:
     def folder(self, name: str) -> str:
         return f"{self.root}/{self.folders[name]}"
 
+    @classmethod
+    def of_environment(cls, prefix: str = "FORDWAY_") -> Config:
+        """Settings from the environment: <prefix>ROOT, <prefix>SRID, and <prefix>FOLDER_<NAME> for each folder."""
+        own = cls()
+        folders = {k: os.environ.get(f"{prefix}FOLDER_{k.upper()}", v) for k, v in own.folders.items()}
+        return cls(os.environ.get(f"{prefix}ROOT", own.root), int(os.environ.get(f"{prefix}SRID", own.srid)), folders)
+
+
+def logger(name: str = "fordway", level: int = logging.INFO) -> logging.Logger:
+    """A logger that writes lines with time and level, once however often it is asked for."""
+    found = logging.getLogger(name)
+    found.setLevel(level)
+    if not found.handlers:
+        handler = logging.StreamHandler()
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+        found.addHandler(handler)
+    return found
+
 
 def region(spark: SparkSession, name: str) -> DataFrame:
     """One row: name, polygon."""

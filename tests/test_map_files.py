@@ -144,6 +144,35 @@ def test_shapefile(spark, tmp_path):
         list(shapefile.shapes(bytes(200)))
 
 
+def test_crop_files(spark, osm_file, tmp_path, monkeypatch):
+    from fordway.sources import crops, regions
+
+    at = lambda n: f"file://{tmp_path}/{n}"
+    box = (6.015, 49.0, 7.0, 50.005)
+    assert crops.crop_file(spark, at("a.osm"), at("b.osm.pbf"), box) and not crops.crop_file(spark, at("a.osm"), at("b.osm.pbf"), box)
+    assert {r.osmid for r in osm.nodes(spark, at("b.osm.pbf")).collect()} == {1, 2, 3}
+    assert crops.crop_file(spark, at("b.osm.pbf"), at("c.osm"), box) and osm.ways(spark, at("c.osm")).count() == 1
+    with pytest.raises(ValueError):
+        crops.crop_file(spark, at("a.shp"), at("d.shp"), box)
+    member = "<m><fid>{}</fid><posList>6.6 49.7 {} 49.7 6.6 49.8 6.6 49.7</posList></m>"
+    text = f"<c>{member.format(1, 6.7)}{member.format(2, 60.7)}</c>"
+    for folder in ("risk", "areas"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "z.gml").write_text(text)
+    assert crops.crop_to_region(spark, at("risk/z.gml"), at("z.geojson"), "trier_city", row_tag="m", columns="fid int")
+    from fordway.sources import readers
+
+    found = readers.geojson_lines(spark, at("z.geojson"), "fid int").select("fid", G.bounds(F.flatten("polygon")).alias("b")).collect()
+    assert {r.fid for r in found} == {1, 2} and max(r.b.xmax for r in found) == pytest.approx(6.725, abs=1e-9)
+    monkeypatch.setenv("FORDWAY_ROOT", at("").rstrip("/"))
+    monkeypatch.setenv("FORDWAY_FOLDER_RISK_ZONES", "risk")
+    monkeypatch.setenv("FORDWAY_FOLDER_HAZARD_AREAS", "areas")
+    config = regions.Config.of_environment()
+    assert crops.crop_flooding(spark, config, "trier_city", "m", "fid int") == {"risk_zones": ["z.gml"], "hazard_areas": ["z.gml"]}
+    assert readers.geojson_lines(spark, at("areas/trier_city"), "fid int").count() == 2
+    assert len({id(h) for _ in range(3) for h in regions.logger().handlers}) == 1
+
+
 def test_crop_folder(spark, tmp_path):
     from fordway.sources import regions, writers
 
