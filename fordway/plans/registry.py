@@ -231,6 +231,16 @@ def spatial_left_join(spark, d):
     return J.spatial_join(nodes(spark, d), districts(spark, d).where("level = 4"), "left", "within").select("osmid", "name")
 
 
+@query(
+    """SELECT u, v, key, did FROM edges, districts WHERE level = 4 AND least(x1, x2) > dx0 AND greatest(x1, x2) < dx1
+      AND least(y1, y2) > dy0 AND greatest(y1, y2) < dy1""",
+    "edges",
+    "districts",
+)
+def lines_within(spark, d):
+    return J.spatial_join(edges(spark, d), districts(spark, d).where("level = 4"), "inner", "within", line="line").select("u", "v", "key", "did")
+
+
 @query(f"SELECT osmid FROM nodes WHERE {_IN_HAZARD}", "hazard")
 def spatial_semi(spark, d):
     return J.spatial_join(nodes(spark, d), hazard(spark, d), "semi").select("osmid")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G
@@ -101,6 +103,11 @@ def geojson_collection(df: DataFrame, path: str, geometry: str, kind: str, order
     one_file(rows, path, ['{"type":"FeatureCollection","features":['], ["]}"], overwrite)
 
 
+def stamped(path: str, at: datetime | None = None) -> str:
+    """path_YYYYmmdd_HHMMSS, for results of several runs side by side."""
+    return f"{path.rstrip('/')}_{at or datetime.now():%Y%m%d_%H%M%S}"
+
+
 def scores_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """CSV files by service type, points as WKT and routes as text."""
     flat = df

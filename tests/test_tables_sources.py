@@ -1,3 +1,4 @@
+import datetime
 import json
 import warnings
 
@@ -126,6 +127,7 @@ def test_gml_graphml_csv(spark, tmp_path):
     r = readers.csv(spark, str(tmp_path / "p.csv"), "household_id long, cell_id long, geometry string", "geometry").first()
     assert (r.x, r.y) == (7.0, 8.0)
     scored = spark.createDataFrame([("hospital", (1.0, 2.0), [1, 2], 0.5)], f"service_type string, to_centroid {G.POINT}, route array<long>, score double")
+    assert writers.stamped("a/b/", datetime.datetime(2024, 2, 3, 4, 5, 6)) == "a/b_20240203_040506"
     writers.scores_csv(scored, str(tmp_path / "s"))
     assert spark.read.csv(str(tmp_path / "s"), header=True).first().to_centroid == "POINT (1.0 2.0)"
 
