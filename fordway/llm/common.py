@@ -49,7 +49,7 @@ class Workspace:
     """A folder below the shared one, for the tables of one run.
 
     store() writes a table and reads it back, which cuts its lineage: whatever executor is lost later, the rows are
-    still there. drop() removes a table that is no longer read; what is left goes when the driver ends.
+    still there. drop() removes a table that is no longer read, keep() all but some; the rest goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -69,6 +69,13 @@ class Workspace:
             fs, at = filesystem(self.spark, self.path(name))
             fs.delete(at, True)
 
+    def keep(self, *names: str) -> None:
+        """Remove all tables but the named ones: what led to a result that is stored."""
+        fs, at = filesystem(self.spark, self.root)
+        for x in fs.listStatus(at):
+            if x.getPath().getName() not in names:
+                fs.delete(x.getPath(), True)
+
     def close(self) -> None:
         try:
             fs, at = filesystem(self.spark, self.root)

@@ -138,6 +138,7 @@ def contamination(
     items = ws.store(items_of(benchmark, item_col, item_text_col), "items")
     parts = ws.store(windows(items, size), "item-windows")
     out = ws.store(_checked(ws, docs, parts, id_col, text_col, [id_col], most), "checked")
+    ws.keep("items", "item-windows", "checked")
     # only rows with hits meet the items; texts of one key are equal, so their windows are as well
     n_parts = parts.count()
     few = lambda df: F.broadcast(df) if n_parts <= most else df
@@ -179,6 +180,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "
     at, text = (inner[docs.columns.index(c)] for c in (id_col, text_col))
     parts = ws.store(windows(items_of(benchmark), size), "item-windows")
     state = _checked(ws, docs.toDF(*inner), parts, at, text, inner, BROADCAST_ROWS)
+    ws.keep("places")
     return state.where(F.size("held") == 0).select(*[f"k{i}" for i in range(len(inner))]).toDF(*docs.columns)
 
 

@@ -313,6 +313,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     named = named.withColumns({"k1": F.xxhash64(at, text), "k2": F.xxhash64(text, at)})
     keyed = named.select(F.col(at).alias("id"), "k1", "k2", F.col(text).alias("text"))
     kept = ws.store(kept_lines(ws, keyed, threshold), "kept")
+    ws.keep("kept")
     one = Window.partitionBy("k1", "k2").orderBy("k1")
     joined = named.join(kept.hint("merge"), ["k1", "k2"], "left").withColumn("copy", F.row_number().over(one))
     joined = joined.select(*inner, F.when(F.col("copy") == 1, F.col("kept")).alias("kept"))

@@ -194,6 +194,7 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
     lists = index.groupBy("row").agg(F.collect_set("trigram").alias("held"))
     hit = F.filter(F.array(*[F.when(meets(queries[r], F.col("held")), F.lit(r.kind)) for r in indexed]), lambda k: k.isNotNull())
     candidates = ws.store(lists.select("row", hit.alias("kinds")).where(F.size("kinds") > 0), "candidates")
+    ws.keep("candidates")
     none = F.expr("cast(array() as array<struct<kind: string, start: bigint, end: bigint>>)")
     text = F.col("text")
     # rules that scan all rows do so before the join; texts without any candidate leave theirs behind

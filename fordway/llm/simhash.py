@@ -95,7 +95,9 @@ def near_groups(ws: Workspace, found: DataFrame, id_col: str, radius: int = 4) -
     labelled = ws.store(prints.join(of, F.col("fp") == F.col("node"), "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("label")), "labelled")
     least = ws.store(labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "least")
     total = least.agg(F.sum("n")).first()[0] or 0
-    return ws.store(join_one(labelled.withColumnRenamed("n", "rows"), least, "label", total).withColumnRenamed("rows", "n"), "groups")
+    groups = ws.store(join_one(labelled.withColumnRenamed("n", "rows"), least, "label", total).withColumnRenamed("rows", "n"), "groups")
+    ws.keep("fingerprints", "groups")
+    return groups
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:

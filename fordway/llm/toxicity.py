@@ -315,6 +315,7 @@ def _features_by_join(docs: DataFrame, found: DataFrame, keep: list[str], text_c
     of = kinds.select("a", "b", "n").join(of, ["a", "b"], "left")
     of = of.select("a", "b", "n", F.coalesce(F.col("value") / STEPS / F.col("size"), F.lit(0.0)).alias("mean"), F.coalesce(total / F.size("top") / STEPS, F.lit(0.0)).alias("peak"))
     of = ws.store(of, "features")
+    ws.keep("features")
     return join_one(keyed, of, ["a", "b"], of.agg(F.sum("n")).first()[0] or 0).select(*inner, "mean", "peak").toDF(*keep, "mean", "peak")
 
 
@@ -361,6 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = rows["toxic"].to_numpy().astype(float)
     order = np.lexsort((y, x[:, 1], x[:, 0]))
     model.curve = fit_curve(x[order], y[order])
+    ws.keep("evidence")
     return model
 
 

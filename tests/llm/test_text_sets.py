@@ -344,6 +344,19 @@ def test_secrets_in_number(spark):
     assert {r.doc_id: [tuple(s) for s in r.base] for r in got} == {1: secrets(text), 2: secrets("AKIA" + "A" * 20 + " " + "0af1" * 9)}
 
 
+def test_tables_are_removed(spark):
+    import os
+
+    ws = Workspace(spark, "tidy")
+    for name in ("a", "b", "c"):
+        ws.store(spark.range(2), name)
+    ws.drop("b")
+    ws.keep("c")
+    assert os.listdir(ws.root.removeprefix("file:").replace("//", "/", 1)) == ["c"]
+    ws.close()
+    assert not os.path.exists(ws.root.removeprefix("file:").replace("//", "/", 1))
+
+
 def test_shared_folder(spark, monkeypatch):
     from fordway.llm import common
 
