@@ -41,7 +41,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Tokens of one piece of bytes, a byte at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
         self.ranks = ranks
         # by the beginnings of tokens: the token that it is (-1: none), and whether a longer one begins so
         starts = {t[:k] for t in ranks for k in range(1, len(t))}

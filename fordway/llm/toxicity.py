@@ -46,8 +46,8 @@ BROADCAST_LABELS = 1_000_000
 DISCOUNT = 0.75
 ALPHABET = 256
 SUM_AT = 250_000  # n-grams that a task holds before it sums them up
-CHUNK = 1 << 16  # words looked at together
-MEMO = 300_000  # words that a task remembers
+CHUNK = 1 << 14  # words looked at together
+MEMO = 100_000  # words that a task remembers
 STEPS = 1 << 20  # of evidence in a unit
 BITS = 21  # of a character
 ONE, TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1  # masks of the last one and two characters
@@ -269,7 +269,7 @@ def features(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
         own = Lookup(*shared.value)
         return lambda batch: dict(zip(("mean", "peak"), own.features(batch), strict=True))
 
-    return map_texts(docs, keep, text_col, "mean double, peak double", make)
+    return map_texts(docs, keep, text_col, "mean double, peak double", make, most=1 << 20)
 
 
 def _features_by_join(docs: DataFrame, found: DataFrame, keep: list[str], text_col: str) -> DataFrame:
