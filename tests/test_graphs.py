@@ -118,6 +118,20 @@ def test_sampling(spark, sf):
     assert cells.select("row", "column").distinct().count() == sampling.one_per_cell(cells).count()
 
 
+def test_sampling_of_narrow_areas(spark):
+    """An area narrower or lower than a cell is sampled in strips, and none of its nodes is left out."""
+    places = lambda x, y: spark.range(1, 1000).select(F.col("id").alias("osmid"), F.expr(x).alias("x"), F.expr(y).alias("y"))
+    line, tall, flat = places("2L", "id"), polygon(spark, (0, 0, 4, 1000)), polygon(spark, (0, 0, 1000, 4))
+    for nodes, area, side, other in ((line, tall, "row", "column"), (places("id", "2L"), flat, "column", "row")):
+        got = sampling.draw_sample(nodes, area, distance_m=100.0, lonlat=False).collect()
+        assert sorted(r[side] for r in got) == list(range(10)) and {r[other] for r in got} == {-1}
+        assert sorted(r.n for r in got) == [99] + 9 * [100]
+    by_number = sampling.draw_sample(line, tall, samples=60, lonlat=False).collect()
+    assert len(by_number) == 122 and sum(r.n for r in by_number) == 999
+    with pytest.raises(ValueError):
+        sampling.draw_sample(line, tall, distance_m=2000.0, lonlat=False)
+
+
 def test_borders_between_districts(spark):
     """A place on a border is in the union if no gap is left around it."""
     boxes = polygon(spark, (0, 0, 4, 4), (4, 0, 8, 4), (0, 4, 4, 8), (20, 0, 24, 4), (24, 2, 28, 6), (40, 0, 44, 4), (44, 4, 48, 8)).withColumn("name", F.lit("d"))

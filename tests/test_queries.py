@@ -47,3 +47,21 @@ def test_entry(spark):
     assert {r.service_type for r in __spark_entry__.entry(spark).collect()} == {"hospital", "fire_station"}
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_draw_sample_of_a_tall_grid(spark, tmp_path):
+    """A box of which the width is below a cell's has one strip."""
+    assert_equals_sql(spark, tmp_path, "draw_sample", range(7, 150_000, 97))
+    assert {r.column for r in files.draw_sample(spark, str(tmp_path)).collect()} == {-1}
+
+
+def assert_equals_sql(spark, folder, name, keys):
+    """A query's rows against its SQL's, over customers of these keys."""
+    spark.createDataFrame([(int(k),) for k in keys], "c_custkey long").write.parquet(f"{folder}/customer.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view customer as select * from '{folder}/customer.parquet/*.parquet'")
+    df, got = registry.QUERIES[name](spark, str(folder)), c.sql(registry.SQL[name])
+    columns = sorted(got.columns)
+    assert sorted(df.columns) == columns
+    own = rows((r.asDict() for r in df.collect()), columns)
+    assert own == rows((dict(zip(got.columns, r, strict=True)) for r in got.fetchall()), columns)
