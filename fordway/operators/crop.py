@@ -214,7 +214,10 @@ def _zone(epsg: int) -> tuple[int, bool] | None:
 
 
 def project(x: np.ndarray, y: np.ndarray, source: int, target: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places from one system to another, by longitude and latitude."""
+    """Places from one system to another, by longitude and latitude.
+
+    Latitudes beyond a pole are no places: in a zone both numbers are NaN, and on web maps the northing is what its
+    formula gives, which is NaN up to 180 degrees beyond."""
     for epsg in (source, target):
         if epsg not in (*DEGREES, WEB) and _zone(epsg) is None:
             raise ValueError(f"no projection for EPSG:{epsg}")
@@ -222,9 +225,13 @@ def project(x: np.ndarray, y: np.ndarray, source: int, target: int) -> tuple[np.
         x, y = np.degrees(x / A_METRES), np.degrees(2 * np.arctan(np.exp(y / A_METRES)) - math.pi / 2)
     elif source not in DEGREES:
         x, y = from_utm(x, y, *_zone(source))
+    if target in DEGREES:
+        return x, y
     if target == WEB:
-        return A_METRES * np.radians(x), A_METRES * np.log(np.tan(math.pi / 4 + np.radians(y) / 2))
-    return (x, y) if target in DEGREES else to_utm(x, y, *_zone(target))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return A_METRES * np.radians(x), A_METRES * np.log(np.tan(math.pi / 4 + np.radians(y) / 2))
+    real = np.abs(y) <= 90
+    return to_utm(np.where(real, x, np.nan), np.where(real, y, np.nan), *_zone(target))
 
 
 def to_crs(df: DataFrame, column: str, source: int, target: int) -> DataFrame:

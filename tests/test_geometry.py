@@ -190,6 +190,18 @@ def test_to_crs(spark):
         C.to_crs(df, "p", 4326, 2154)
 
 
+def test_to_crs_by_a_zone_and_beyond_the_poles(spark):
+    """By way of a zone web maps' metres are the same but for rounding; beyond a pole a zone has no place."""
+    places = [(k, (6 + k / 100, float(lat))) for k, lat in enumerate((-79.5, -45, 0, 49.75, 79.5))]
+    df = spark.createDataFrame(places, f"k int, p {G.POINT}")
+    straight = {r.k: r.p for r in C.to_crs(df, "p", 4326, 3857).collect()}
+    for k, p in C.to_crs(C.to_crs(df, "p", 4326, 32632), "p", 32632, 3857).collect():
+        assert tuple(p) == pytest.approx(tuple(straight[k]), abs=1e-6)
+    beyond = spark.createDataFrame([(1, (6.65, 90.5)), (2, (6.65, -100.0)), (3, (6.65, 89.5))], f"k int, p {G.POINT}")
+    zone = {r.k: r.p for r in C.to_crs(beyond, "p", 4326, 32632).collect()}
+    assert all(math.isnan(v) for k in (1, 2) for v in zone[k]) and all(map(math.isfinite, zone[3]))
+
+
 def test_utm_and_buffer(spark):
     east, north = C.to_utm(np.array([6.65]), np.array([49.75]), 32)
     lon, lat = C.from_utm(east, north, 32)
